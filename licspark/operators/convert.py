@@ -39,7 +39,7 @@ def typed_findings(raw: DataFrame, registry: DataFrame | None = None) -> DataFra
     else:
         typed = raw.join(F.broadcast(registry), "source", "left")
     names = F.filter(
-        F.transform(F.col("licenses"), clean_license), lambda x: x.isNotNull() & (x != "")
+        F.transform("licenses", lambda x: clean_license(x)), lambda x: x.isNotNull() & (x != "")
     )
     return (
         typed.withColumn("licenses", F.coalesce(names, F.array().cast("array<string>")))

@@ -22,20 +22,19 @@ def subset_accuracy(truth: DataFrame, predicted: DataFrame, key: str = "path") -
 
 def label_counts(truth: DataFrame, predicted: DataFrame, key: str = "path") -> DataFrame:
     """True positives, false positives and false negatives per label."""
+
+    def marks(labels, tp, fp, fn):
+        return F.transform(
+            labels,
+            lambda x: F.struct(
+                x.alias("label"), F.lit(tp).alias("tp"), F.lit(fp).alias("fp"), F.lit(fn).alias("fn")
+            ),
+        )
+
     marked = F.concat(
-        *[
-            F.transform(
-                labels,
-                lambda x, tp=tp, fp=fp, fn=fn: F.struct(
-                    x.alias("label"), F.lit(tp).alias("tp"), F.lit(fp).alias("fp"), F.lit(fn).alias("fn")
-                ),
-            )
-            for labels, tp, fp, fn in (
-                (F.array_intersect("actual", "guess"), 1, 0, 0),
-                (F.array_except("guess", "actual"), 0, 1, 0),
-                (F.array_except("actual", "guess"), 0, 0, 1),
-            )
-        ]
+        marks(F.array_intersect("actual", "guess"), 1, 0, 0),
+        marks(F.array_except("guess", "actual"), 0, 1, 0),
+        marks(F.array_except("actual", "guess"), 0, 0, 1),
     )
     return (
         _compared(truth, predicted, key)

@@ -121,8 +121,9 @@ def fit_chain(
                 )
                 stages.append(assembler)
             seen = stages[-1].transform(truth) if i else truth
-            fitted = _svm(n_rows, f"_flag{i}", features, f"_raw{i}", f"_flag{i}", max_iter).fit(seen)
-            stages.append(fitted)
+            fitted = _svm(n_rows, f"_flag{i}", features, f"_raw{i}", "_hit", max_iter).fit(seen)
+            # When predicting, later links see the predicted flag instead of the true one.
+            stages.append(fitted.setPredictionCol(f"_flag{i}"))
         return Problem(name, "chain", classes, PipelineModel([*vectors.stages, *stages]))
     finally:
         data.unpersist()

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from licspark.operators.convert import typed_findings
+from licspark.operators.convert import convert_findings
 from licspark.plans.model import LicenseModel
 from licspark.plans.predict import predict_contents
 
@@ -21,23 +21,6 @@ def stream_predictions(contents: DataFrame, model: LicenseModel, path: str, chec
     return _until_done(scored.writeStream.outputMode("append").format("parquet"), checkpoint, path=path)
 
 
-def merged_findings_stream(raw: DataFrame) -> DataFrame:
-    """Streaming form of the findings merge: the state per (kind, path) is its license set."""
-    usable = typed_findings(raw).where(F.col("problem").isNull())
-    first = lambda name: F.min_by(name, "seq").alias(name)
-    return (
-        usable.select("kind", "path", "seq", "remove", "indirect", "text", F.explode("licenses").alias("license"))
-        .groupBy("kind", "path")
-        .agg(
-            F.array_sort(F.collect_set("license")).alias("licenses"),
-            first("remove"),
-            first("indirect"),
-            first("text"),
-            F.min("seq").alias("seq"),
-        )
-    )
-
-
 def _append_changes(path: str):
     """Write the changed rows of a batch to its own folder; a repeated batch overwrites itself."""
 
@@ -48,9 +31,12 @@ def _append_changes(path: str):
 
 
 def stream_findings(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Convert arriving findings; every batch appends only the files it changed."""
+    """Convert arriving findings; the state per (kind, path) is its license set.
+
+    Every batch appends only the files it changed.
+    """
     return _until_done(
-        merged_findings_stream(raw).writeStream.outputMode("update").foreachBatch(_append_changes(path)), checkpoint
+        convert_findings(raw).writeStream.outputMode("update").foreachBatch(_append_changes(path)), checkpoint
     )
 
 
