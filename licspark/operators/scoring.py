@@ -15,7 +15,16 @@ def linear_scores(features: DataFrame, weights: DataFrame, bias: DataFrame, key:
     zero = bias.agg(
         F.array_sort(F.collect_list(F.struct("label", F.lit(0.0).alias("w")))).alias("zero")
     )
-    hits = features.join(broadcast_if_small(weights), "term", "left").withColumn(
+    # Labels a term has no weight for get 0, filled in on the model side.
+    known = lambda label: F.try_element_at(F.map_from_entries("per_label"), label)
+    dense = weights.withColumn(
+        "per_label",
+        F.transform(
+            zero.scalar(),
+            lambda z: F.struct(z["label"].alias("label"), F.coalesce(known(z["label"]), z["w"]).alias("w")),
+        ),
+    )
+    hits = features.join(broadcast_if_small(dense), "term", "left").withColumn(
         "per_label", F.coalesce("per_label", zero.scalar())
     )
     dots = (

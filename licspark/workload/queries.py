@@ -445,7 +445,7 @@ def process_words_comment(spark, sf_dir):
     return _worded(spark, sf_dir, source="comment").select(
         "path",
         F.size("license_related_words").alias("n_words"),
-        F.size("no_license_related_words").alias("n_other"),
+        F.coalesce(F.size("no_license_related_words"), F.lit(-1)).alias("n_other"),
         joined(F.slice("license_related_words", 1, 20), " ").alias("head"),
     )
 
@@ -500,7 +500,7 @@ def update_files(spark, sf_dir):
         joined("mapped_licenses").alias("mapped_licenses"),
         joined("tags").alias("tags"),
         joined("license_related_words", " ").alias("words"),
-        F.size("no_license_related_words").alias("n_other"),
+        F.coalesce(F.size("no_license_related_words"), F.lit(-1)).alias("n_other"),
     )
 
 
