@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, functions as F
 from licspark import fixed_values as fv
 from licspark.operators.ranking import rank_within
 from licspark.operators.tags import add_tag, drop_tag_everywhere
-from licspark.session import broadcast_if_small
 
 
 def holdout_paths(
@@ -13,14 +12,10 @@ def holdout_paths(
 ) -> DataFrame:
     """Paths to hold out: per license with enough files the first ``ceil(n * factor)``."""
     placed = files.select("path", F.explode(F.array_distinct("mapped_licenses")).alias("license"))
-    counts = placed.groupBy("license").agg(F.count("*").alias("n"))
-    quota = counts.where(F.col("n") >= min_samples).select(
-        "license", F.ceil(F.col("n") * F.lit(float(factor))).alias("quota")
-    )
-    ranked = rank_within(placed, ["license"], ["path"])
+    quota = F.ceil(F.col("group_size") * F.lit(float(factor)))
     return (
-        ranked.join(broadcast_if_small(quota), "license")
-        .where(F.col("rank") <= F.col("quota"))
+        rank_within(placed, ["license"], ["path"])
+        .where((F.col("group_size") >= min_samples) & (F.col("rank") <= quota))
         .select("path")
         .distinct()
     )

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from licspark import fixed_values as fv
 from licspark.functions.names import clean_license
 from licspark.functions.text import strip
-from licspark.session import broadcast_if_small
+from licspark.session import broadcast_if_small, durable
 
 
 def mapping_rows(lines: DataFrame) -> DataFrame:
@@ -64,10 +64,11 @@ def map_licenses(files: DataFrame, mapping: DataFrame, faithful: bool = False) -
     """Add ``mapped_licenses`` to files.
 
     Millions of files share few license sets, so only the distinct sets are
-    mapped; the wide file rows meet the result in one join and are broadcast
-    past when the sets are few.
+    mapped, and the result is kept. The wide file rows then meet it in one join,
+    a broadcast while the sets are few. ``files`` is read twice: pass a stored
+    table.
     """
-    sets = mapped_sets(files.select("licenses").distinct(), mapping, faithful)
+    sets = durable(mapped_sets(files.select("licenses").distinct(), mapping, faithful))
     mapped = files.drop("mapped_licenses").join(broadcast_if_small(sets), "licenses", "left")
     return mapped.withColumn(
         "mapped_licenses", F.coalesce("mapped_licenses", F.array().cast("array<string>"))

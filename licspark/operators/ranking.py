@@ -5,13 +5,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from licspark.session import broadcast_if_small, durable
 
 
-def rank_within(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
-    """``row_number`` per group without a window over the whole group.
+def rank_within(
+    df: DataFrame, group: list[str], order: list[str], name: str = "rank", size: str = "group_size"
+) -> DataFrame:
+    """``row_number`` and row count per group without a window over the whole group.
 
     One range shuffle sorts by (group, order), so a hot group spreads over many
     partitions. ``monotonically_increasing_id`` then numbers the rows inside
-    each partition, and the few (group, partition) sizes give the offsets. The
-    numbered rows are checkpointed, because ranges are drawn from a sample and
+    each partition, and the few (group, partition) sizes (at most groups plus
+    partitions) give the offsets and the group sizes. The numbered rows are checkpointed, because ranges are drawn from a sample and
     both uses must see the same ones. ``order`` should be unique in a group.
     """
     staged = durable(
@@ -21,11 +23,13 @@ def rank_within(df: DataFrame, group: list[str], order: list[str], name: str = "
         .withColumn("_slice", F.spark_partition_id())
     )
     slices = staged.groupBy(*group, "_slice").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_slice")) - F.col("_n")
+    of_group = Window.partitionBy(*group)
+    before = F.sum("_n").over(of_group.orderBy("_slice")) - F.col("_n")
     offsets = slices.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
         F.col("_slice").alias("_s"),
         (before - F.col("_first") + 1).alias("_shift"),
+        F.sum("_n").over(of_group).alias(size),
     )
     same = F.col("_slice") == F.col("_s")
     for i, g in enumerate(group):

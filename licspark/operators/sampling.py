@@ -51,7 +51,7 @@ def license_samples(
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows by ``order`` without gathering them in one task."""
     keyed = df.withColumn("_all", F.lit(0))
-    return rank_within(keyed, ["_all"], order, "_rank").where(F.col("_rank") <= n).drop("_all", "_rank")
+    return rank_within(keyed, ["_all"], order, "_rank").where(F.col("_rank") <= n).drop("_all", "_rank", "group_size")
 
 
 def no_license_samples(

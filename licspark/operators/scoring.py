@@ -17,12 +17,12 @@ def linear_scores(features: DataFrame, weights: DataFrame, bias: DataFrame, key:
     )
     # Labels a term has no weight for get 0, filled in on the model side.
     known = lambda label: F.try_element_at(F.map_from_entries("per_label"), label)
-    dense = weights.withColumn(
-        "per_label",
+    dense = weights.withColumn("zero", zero.scalar()).select(
+        "term",
         F.transform(
-            zero.scalar(),
+            "zero",
             lambda z: F.struct(z["label"].alias("label"), F.coalesce(known(z["label"]), z["w"]).alias("w")),
-        ),
+        ).alias("per_label"),
     )
     hits = features.join(broadcast_if_small(dense), "term", "left").withColumn(
         "per_label", F.coalesce("per_label", zero.scalar())

@@ -6,7 +6,7 @@ from licspark.functions import words as w
 from licspark.functions.comments import license_comment_literals
 from licspark.functions.segments import segments
 from licspark.functions.tokens import TOKEN_PROFILES
-from licspark.session import is_small
+from licspark.session import durable, is_small
 
 LEMMA_ROWS = 200_000
 LEMMA_BUCKETS = 4096
@@ -52,35 +52,35 @@ def lemma_buckets(lemmas: DataFrame) -> DataFrame:
     )
 
 
-def lemmatize(files: DataFrame, lemmas: DataFrame, column: str, key: str = "path") -> DataFrame:
-    """Replace tokens by their lemma.
+def lemmatize(files: DataFrame, lemmas: DataFrame, columns: list[str], key: str = "path") -> DataFrame:
+    """Replace the tokens of array columns by their lemmas.
 
     A lemma table of checked size is looked up inside each row. A larger one is
     joined on the token and the arrays are put together again.
     """
     if is_small(lemmas, LEMMA_ROWS):
-        lookup = lemma_buckets(lemmas).scalar()
-        found = lambda t, table: F.try_element_at(F.get(table, F.pmod(F.hash(t), F.lit(LEMMA_BUCKETS))), t)
-        return (
-            files.withColumn("_lookup", lookup)
-            .withColumn(
-                column, F.transform(column, lambda t: F.coalesce(found(t, F.col("_lookup")), t))
-            )
-            .drop("_lookup")
-        )
+        # One row, bounded by the check above.
+        table = F.broadcast(durable(lemma_buckets(lemmas)))
+        found = lambda t, lookup: F.try_element_at(F.get(lookup, F.pmod(F.hash(t), F.lit(LEMMA_BUCKETS))), t)
+        replaced = {
+            c: F.transform(c, lambda t: F.coalesce(found(t, F.col("lookup")), t)) for c in columns
+        }
+        return files.join(table).withColumns(replaced).drop("lookup")
     unique = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
-    replaced = (
-        files.select(key, F.posexplode(column).alias("pos", "token"))
-        .join(unique, "token", "left")
-        .groupBy(key)
-        .agg(
-            F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "token").alias("word"))))["word"].alias(
-                "_words"
+    for column in columns:
+        replaced = (
+            files.select(key, F.posexplode(column).alias("pos", "token"))
+            .join(unique, "token", "left")
+            .groupBy(key)
+            .agg(
+                F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "token").alias("word"))))[
+                    "word"
+                ].alias("_words")
             )
         )
-    )
-    return (
-        files.join(replaced, key, "left")
-        .withColumn(column, F.coalesce("_words", F.col(column)))
-        .drop("_words")
-    )
+        files = (
+            files.join(replaced, key, "left")
+            .withColumn(column, F.coalesce("_words", F.col(column)))
+            .drop("_words")
+        )
+    return files

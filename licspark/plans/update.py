@@ -20,16 +20,15 @@ def update_files(
     faithful_mapping: bool = False,
 ) -> DataFrame:
     """Files with content to fully described files; ``source="comment"`` uses the best comment."""
-    described = with_content(files, contents).withColumn(
+    mapped = map_licenses(files, mapping, faithful_mapping)
+    described = with_content(mapped, contents).withColumn(
         "file_type", file_type(F.col("content"), F.col("path"))
     )
     worded = add_words(described, profile, source).drop("content")
     if lemmas is not None and profile == "lemma":
-        for column in ("license_related_words", "no_license_related_words"):
-            worded = lemmatize(worded, lemmas, column)
-    mapped = map_licenses(worded, mapping, faithful_mapping)
+        worded = lemmatize(worded, lemmas, ["license_related_words", "no_license_related_words"])
     tags = F.col("tags") if "tags" in files.columns else no_tags()
-    return mapped.withColumn(
+    return worded.withColumn(
         "tags",
         derived_tags(
             tags,

@@ -188,7 +188,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def derived(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """Run a derivation over tables of one scale factor."""
-    sources = {name: table(spark, sf_dir, name) for name in tables}
+    sources = {name: spread(table(spark, sf_dir, name)) for name in tables}
     for name in tables:
         sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}").replace(f"JOIN {name}", f"JOIN {{{name}}}")
     return spark.sql(sql, **sources)
@@ -207,8 +207,7 @@ def mapping_lines(spark, sf_dir):
 
 
 def code_files(spark, sf_dir):
-    documents = spread(table(spark, sf_dir, "documents"))
-    return spark.sql(code_files_sql(SPARK).replace("FROM documents", "FROM {documents}"), documents=documents)
+    return derived(spark, sf_dir, code_files_sql(SPARK), "documents")
 
 
 def doc_licenses(spark, sf_dir):

@@ -146,7 +146,7 @@ def mapping_template(spark, sf_dir):
 
 
 def _mapped_files(spark, sf_dir, faithful=False):
-    files = _files(spark, sf_dir).where(F.col("kind") == "Conclusion")
+    files = durable(_files(spark, sf_dir).where(F.col("kind") == "Conclusion"))
     mapped = mapping.map_licenses(files, _mapping(spark, sf_dir), faithful)
     # Findings carry no text here, so the type comes from the path alone.
     return mapped.withColumn("file_type", filetypes.file_type(F.lit("x"), F.col("path"))).withColumn(
@@ -465,7 +465,7 @@ def stop_word_tokens(spark, sf_dir):
 @query
 def lemma_tokens(spark, sf_dir):
     files = inputs.text_files(spark, sf_dir).select("path", tokens.word_tokens(F.col("content")).alias("words"))
-    done = word_ops.lemmatize(files, inputs.lemmas(spark, sf_dir), "words")
+    done = word_ops.lemmatize(files, inputs.lemmas(spark, sf_dir), ["words"])
     return done.select("path", joined("words", " ").alias("words"))
 
 
@@ -607,8 +607,8 @@ def sample_no_license(spark, sf_dir):
 
 @query
 def sample_routing(spark, sf_dir):
-    single = _samples(spark, sf_dir, fv.SINGLE_MAPPED_LICENSE)
-    multi = _samples(spark, sf_dir, fv.MULTIPLE_MAPPED_LICENSE)
+    single = durable(_samples(spark, sf_dir, fv.SINGLE_MAPPED_LICENSE))
+    multi = durable(_samples(spark, sf_dir, fv.MULTIPLE_MAPPED_LICENSE))
     routed = sampling.routing_samples(single, multi, _training_files(spark, sf_dir))
     return routed.select("path", F.size("words").alias("n_words"), "label")
 
