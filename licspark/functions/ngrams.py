@@ -42,4 +42,4 @@ def term_counts(terms: Column) -> Column:
             lambda run: F.struct(F.get(run, F.lit(0)).alias("term"), F.size(run).cast("long").alias("tf")),
         )
 
-    return let(F.array_sort(terms), count)
+    return let(F.sort_array(terms), count)

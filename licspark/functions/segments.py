@@ -149,7 +149,7 @@ def raw_comments(lines: Column, marks: Column) -> Column:
             )
 
         singles = F.filter(F.transform(lines, one_line), lambda c: c.isNotNull())
-        return F.array_sort(F.concat(F.transform(spans, block), singles))
+        return F.sort_array(F.concat(F.transform(spans, block), singles))
 
     return let(
         F.struct(lines.alias("lines"), marks.alias("marks")),
@@ -240,7 +240,7 @@ def order_segments(strings: Column, comments: Column) -> Column:
             ).alias("segment"),
         ),
     )
-    return F.array_sort(F.concat(keyed_strings, keyed_comments))["segment"]
+    return F.sort_array(F.concat(keyed_strings, keyed_comments))["segment"]
 
 
 def code_segments(

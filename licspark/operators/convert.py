@@ -93,7 +93,7 @@ def merge_findings(typed: DataFrame) -> DataFrame:
             F.min("seq").alias("seq"),
         )
         .where(F.size("licenses") > 0)
-        .select("kind", "path", F.array_sort("licenses").alias("licenses"), "fields.*", "seq")
+        .select("kind", "path", F.sort_array("licenses").alias("licenses"), "fields.*", "seq")
     )
 
 

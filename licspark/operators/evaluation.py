@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 def _compared(truth: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     """One row per document with both label sets (one join on the document key)."""
     empty = F.array().cast("array<string>")
-    labels = lambda df, name: df.select(key, F.array_sort(F.array_distinct("labels")).alias(name))
+    labels = lambda df, name: df.select(key, F.sort_array(F.array_distinct("labels")).alias(name))
     return (
         labels(truth, "actual")
         .join(labels(predicted, "guess"), key, "full")

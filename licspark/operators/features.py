@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from licspark import fixed_values as fv
 from licspark.functions.ngrams import term_counts, word_ngrams
+from licspark.functions.text import let
+from licspark.operators.lookup import found, lookup_value
 
 
 def document_terms(docs: DataFrame, key: str = "path", words: str = "words", n_max: int = 3) -> DataFrame:
@@ -45,16 +47,31 @@ def tfidf(
 ) -> DataFrame:
     """(key, term, weight): ``(1 + ln tf) * idf``, each document scaled to length 1.
 
-    The vocabulary is limited by ``max_features``, so it is broadcast.
+    The vocabulary is limited by ``max_features``, so it is looked up inside the
+    rows: no shuffle.
     """
-    weighted = document_terms(docs, key, words, n_max).join(
-        F.broadcast(vocab.select("term", "idf")), "term"
+    weighted = lambda terms, lookup: F.filter(
+        F.transform(
+            terms,
+            lambda t: F.struct(
+                t["term"].alias("term"),
+                ((F.log(t["tf"].cast("double")) + 1.0) * found(lookup, t["term"])).alias("weight"),
+            ),
+        ),
+        lambda t: t["weight"].isNotNull(),
     )
-    raw = (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
-    per_doc = weighted.groupBy(key).agg(
-        F.collect_list(F.struct("term", raw.alias("weight"))).alias("terms"),
-        F.sqrt(F.sum(raw * raw)).alias("norm"),
+    norm = lambda terms: F.sqrt(
+        F.aggregate(terms, F.lit(0.0), lambda total, t: total + t["weight"] * t["weight"])
     )
-    return per_doc.select(key, "norm", F.inline("terms")).select(
-        key, "term", (F.col("weight") / F.col("norm")).alias("weight")
+    scaled = lambda terms: let(
+        norm(terms),
+        lambda n: F.transform(
+            terms, lambda t: F.struct(t["term"].alias("term"), (t["weight"] / n).alias("weight"))
+        ),
+    )
+    counts = term_counts(word_ngrams(F.col(words), n_max))
+    # The generator stands on the expression itself: on a column, Spark would add
+    # a filter that evaluates the expression again.
+    return docs.withColumn("_idf", lookup_value(vocab, "term", "idf")).select(
+        key, F.inline(let(weighted(counts, F.col("_idf")), scaled))
     )

@@ -50,7 +50,7 @@ def mapped_sets(sets: DataFrame, mapping: DataFrame, faithful: bool = False) ->
     else:
         kept = looked_up.withColumn("new", F.when(~drops, F.col("new")))
     mapped = kept.groupBy("licenses").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("new")))).alias("mapped_licenses")
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("new")))).alias("mapped_licenses")
     )
     if faithful:
         mapped = mapped.withColumn(

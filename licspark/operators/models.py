@@ -1,97 +1,123 @@
 """Linear classification problems: one label per file, or a chain of yes/no labels."""
 
-import json
-
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from licspark import fixed_values as fv
-from licspark.functions.ngrams import word_ngrams
 from licspark.operators.features import vocabulary
-from licspark.operators.vectors import vectorizer
+from licspark.operators.vectors import add_counts, linear_classes, tfidf_vector
 
-_WORK = ["terms", "_counts", "_damped", "_weighted", "features"]
+ROWS_PER_TASK = 2000
 
 
-def indicator(labels: str, classes: list[str]):
+def indicator(labels: str, classes: list[str]) -> Column:
     """0/1 per class."""
     return F.transform(
         F.array(*map(F.lit, classes)), lambda c: F.array_contains(F.col(labels), c).cast("int")
     )
 
 
-def from_indicator(flags, classes: list[str]):
+def from_indicator(flags: Column, classes: list[str]) -> Column:
     """Class names whose flag is 1."""
     names = F.array(*map(F.lit, classes))
     return F.filter(F.transform(flags, lambda f, i: F.when(f == 1, F.get(names, i))), lambda x: x.isNotNull())
 
 
 class Problem:
-    """A named, fitted step: words in, license names out."""
+    """A named, fitted step: words in, class names out.
+
+    A linear model is a table: one row per class and one per term.
+    """
 
-    def __init__(self, name: str, kind: str, classes: list[str], model: PipelineModel):
-        self.name, self.kind, self.classes, self.model = name, kind, classes, model
+    def __init__(self, name, classes, terms, idf, coefficients, intercepts, links=None):
+        self.name, self.classes, self.terms = name, list(classes), list(terms)
+        self.idf, self.coefficients = np.asarray(idf), np.asarray(coefficients)
+        self.intercepts = np.asarray(intercepts)
+        self.links = None if links is None else np.asarray(links)
 
     def predict(self, df: DataFrame, words: str, output: str) -> DataFrame:
         """Append ``output``: an array of names (one name for single-label problems)."""
-        before = df.columns
-        scored = self.model.transform(df.withColumn("terms", word_ngrams(F.col(words))))
+        counted = add_counts(df, self.terms, words, "_counts")
+        found = linear_classes(counted, "_counts", self.idf, self.coefficients, self.links, self.intercepts)
         names = F.array(*map(F.lit, self.classes))
-        if self.kind == "single":
-            margins = F.array(*[F.get(vector_to_array(f"_raw{i}"), F.lit(1)) for i in range(len(self.classes))])
-            scored = scored.withColumn("_margins", margins)
-            best = F.array_position(F.col("_margins"), F.array_max("_margins")).cast("int")
-            result = F.array(F.get(names, best - 1))
-        else:
-            flags = F.array(*[F.col(f"_flag{i}") for i in range(len(self.classes))])
-            result = from_indicator(flags, self.classes)
-        return scored.select(*before, result.alias(output))
-
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/{self.name}/model")
+        named = counted.withColumn("_found", found).withColumn(
+            output, F.transform("_found", lambda i: F.get(names, i))
+        )
+        return named.select(*df.columns, output)
 
     def config(self) -> dict:
-        return {"kind": self.kind, "classes": self.classes}
+        return {"kind": "single" if self.links is None else "chain", "classes": self.classes}
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        terms = [(t, float(w)) for t, w in zip(self.terms, self.idf)]
+        links = [None] * len(self.classes) if self.links is None else self.links.tolist()
+        rows = zip(range(len(self.classes)), self.classes, self.coefficients.tolist(), self.intercepts.tolist(), links)
+        spark.createDataFrame(terms, "term string, idf double").write.mode("overwrite").parquet(
+            f"{path}/{self.name}/terms"
+        )
+        spark.createDataFrame(
+            list(rows),
+            "position int, class string, coefficients array<double>, intercept double, links array<double>",
+        ).write.mode("overwrite").parquet(f"{path}/{self.name}/classes")
 
     @classmethod
-    def load(cls, path: str, name: str, config: dict) -> "Problem":
-        return cls(name, config["kind"], config["classes"], PipelineModel.load(f"{path}/{name}/model"))
+    def load(cls, spark: SparkSession, path: str, name: str) -> "Problem":
+        """Read a model back; its size is bounded by classes times terms."""
+        terms = spark.read.parquet(f"{path}/{name}/terms").orderBy("term").collect()
+        rows = spark.read.parquet(f"{path}/{name}/classes").orderBy("position").collect()
+        links = None if rows[0]["links"] is None else [r["links"] for r in rows]
+        return cls(
+            name,
+            [r["class"] for r in rows],
+            [t["term"] for t in terms],
+            [t["idf"] for t in terms],
+            [r["coefficients"] for r in rows],
+            [r["intercept"] for r in rows],
+            links,
+        )
 
 
-def _svm(n_rows: int, label: str, features: str, raw: str, prediction: str, max_iter: int) -> LinearSVC:
+def _svm(n_rows: int, label: str, features: str, max_iter: int) -> LinearSVC:
     # Cost 1 per row, as a sum, equals a penalty of 1/n on the mean.
     return LinearSVC(
-        labelCol=label, featuresCol=features, rawPredictionCol=raw, predictionCol=prediction,
-        regParam=1.0 / n_rows, maxIter=max_iter, standardization=False,
+        labelCol=label, featuresCol=features, regParam=1.0 / n_rows, maxIter=max_iter, standardization=False
     )
 
 
 def _prepare(samples: DataFrame, max_features: int):
-    vocab = vocabulary(samples, "path", "words", max_features)
-    vectors = vectorizer(samples.sparkSession, vocab)
-    prepared = vectors.transform(samples.withColumn("terms", word_ngrams(F.col("words"))))
-    return vectors, prepared.drop("words", *_WORK[:-1]).persist(StorageLevel.MEMORY_AND_DISK)
+    """Vocabulary rows, cached vectors of the samples, and their number.
+
+    Only the vocabulary (at most ``max_features`` rows) comes to the driver. A
+    fit runs one job per iteration, so few rows should be few tasks.
+    """
+    vocab = vocabulary(samples, "path", "words", max_features).select("term", "idf").collect()
+    vocab = sorted((r["term"], r["idf"]) for r in vocab)
+    terms, idf = [t for t, _ in vocab], np.array([w for _, w in vocab])
+    n_rows = samples.count()
+    counted = add_counts(samples, terms, "words", "_counts").drop("words")
+    data = counted.withColumn("features", tfidf_vector(counted, "_counts", idf)).drop("_counts")
+    data = data.repartition(max(1, n_rows // ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
+    return terms, idf, data, n_rows
 
 
 def fit_single(
     samples: DataFrame, name: str = "SP", max_features: int = fv.MAX_FEATURES, max_iter: int = 50, parallelism: int = 4
 ) -> Problem:
     """One-versus-rest linear SVM. ``samples``: path, words, label."""
-    vectors, data = _prepare(samples, max_features)
+    terms, idf, data, n_rows = _prepare(samples, max_features)
     try:
         index = StringIndexer(inputCol="label", outputCol="_label", stringOrderType="alphabetAsc").fit(data)
-        indexed = index.transform(data)
-        svm = _svm(data.count(), "_label", "features", "_raw", "_prediction", max_iter)
         fitted = OneVsRest(
-            classifier=svm, labelCol="_label", featuresCol="features", parallelism=parallelism
-        ).fit(indexed)
-        for i, m in enumerate(fitted.models):
-            m.setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_hit{i}").setFeaturesCol("features")
-        return Problem(name, "single", list(index.labels), PipelineModel([*vectors.stages, *fitted.models]))
+            classifier=_svm(n_rows, "_label", "features", max_iter),
+            labelCol="_label",
+            featuresCol="features",
+            parallelism=parallelism,
+        ).fit(index.transform(data))
+        coefficients = [m.coefficients.toArray() for m in fitted.models]
+        return Problem(name, index.labels, terms, idf, coefficients, [m.intercept for m in fitted.models])
     finally:
         data.unpersist()
 
@@ -103,28 +129,24 @@ def fit_chain(
 
     The class names (one per license) are the only rows collected.
     """
-    vectors, data = _prepare(samples, max_features)
+    terms, idf, data, n_rows = _prepare(samples, max_features)
     try:
         classes = [r[0] for r in data.select(F.explode("labels")).distinct().orderBy("col").collect()]
-        n_rows = data.count()
+        flags = [f"_flag{i}" for i in range(len(classes))]
         truth = data.select(
-            "features",
-            *[F.array_contains("labels", c).cast("double").alias(f"_flag{i}") for i, c in enumerate(classes)],
+            "features", *[F.array_contains("labels", c).cast("double").alias(f) for c, f in zip(classes, flags)]
+        )
+        fitted = []
+        for i, flag in enumerate(flags):
+            seen = VectorAssembler(inputCols=["features", *flags[:i]], outputCol="_seen").transform(truth)
+            fitted.append(_svm(n_rows, flag, "_seen", max_iter).fit(seen))
+        weights = [m.coefficients.toArray() for m in fitted]
+        links = np.zeros((len(classes), len(classes)))
+        for i, w in enumerate(weights):
+            links[i, :i] = w[len(terms):]
+        return Problem(
+            name, classes, terms, idf, [w[: len(terms)] for w in weights], [m.intercept for m in fitted], links
         )
-        stages = []
-        for i in range(len(classes)):
-            features = "features"
-            if i:
-                features = f"_chain{i}"
-                assembler = VectorAssembler(
-                    inputCols=["features", *[f"_flag{j}" for j in range(i)]], outputCol=features
-                )
-                stages.append(assembler)
-            seen = stages[-1].transform(truth) if i else truth
-            fitted = _svm(n_rows, f"_flag{i}", features, f"_raw{i}", "_hit", max_iter).fit(seen)
-            # When predicting, later links see the predicted flag instead of the true one.
-            stages.append(fitted.setPredictionCol(f"_flag{i}"))
-        return Problem(name, "chain", classes, PipelineModel([*vectors.stages, *stages]))
     finally:
         data.unpersist()
 
@@ -136,7 +158,3 @@ def fit_from_labels(samples: DataFrame, name: str, **options) -> Problem:
 
 # Problem name -> training function; other names (license families) use the chain.
 TRAINERS = {"SP": fit_from_labels, "MP": fit_chain, "DP": fit_single}
-
-
-def to_config_json(config: dict) -> str:
-    return json.dumps(config, sort_keys=True)

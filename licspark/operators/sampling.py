@@ -1,13 +1,14 @@
 """Training samples."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from licspark import fixed_values as fv
 from licspark.functions.names import generalize_license, licenses_of_family, route_label
 from licspark.operators.ranking import first_per_group, rank_within
 from licspark.operators.tags import has_tags
-from licspark.session import broadcast_if_small
+from licspark.session import broadcast_if_small, durable
 
+PATHS_BROADCAST = 1_000_000
 SAMPLE = ["license", "path", "words", "labels"]
 
 
@@ -30,16 +31,16 @@ def license_samples(
         "path", F.explode(F.array_distinct("mapped_licenses")).alias("license")
     )
     wanted = candidates.join(broadcast_if_small(licenses), "license", "left_semi")
-    # Only names are ranked; the wide word arrays join the few chosen rows.
     chosen = first_per_group(wanted, ["license"], ["path"], max_samples)
-    filled = (
-        files.select(
-            "path",
-            F.col("license_related_words").alias("words"),
-            F.col("mapped_licenses").alias("labels"),
+    filled = durable(
+        rows_of_paths(
+            files.select(
+                "path",
+                F.col("license_related_words").alias("words"),
+                F.col("mapped_licenses").alias("labels"),
+            ).where((F.size("words") > 0) & (F.size("labels") > 0)),
+            chosen,
         )
-        .where((F.size("words") > 0) & (F.size("labels") > 0))
-        .join(chosen, "path")
     )
     enough = filled.groupBy("license").agg(F.count("*").alias("n")).where(F.col("n") >= min_kept)
     samples = filled.join(broadcast_if_small(enough.select("license")), "license", "left_semi")
@@ -48,6 +49,15 @@ def license_samples(
     return samples.select(SAMPLE)
 
 
+def rows_of_paths(wide: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Wide rows of the chosen paths.
+
+    Paths are ranked and capped alone; while they are few they are broadcast, so
+    the word arrays of all other files never move.
+    """
+    return wide.join(broadcast_if_small(durable(chosen), PATHS_BROADCAST), "path")
+
+
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows by ``order`` without gathering them in one task."""
     keyed = df.withColumn("_all", F.lit(0))
@@ -58,11 +68,11 @@ def no_license_samples(
     files: DataFrame, max_samples: int, exclude_tags=(fv.TEST,)
 ) -> DataFrame:
     """Words outside license text of the first files tagged NO_LRW."""
-    tagged = files.where(has_tags(F.col("tags"), none_of=exclude_tags, one=fv.NO_LRW)).select(
-        "path", F.col("no_license_related_words").alias("words")
-    )
+    tagged = files.where(has_tags(F.col("tags"), none_of=exclude_tags, one=fv.NO_LRW))
+    chosen = first_rows(tagged.select("path"), ["path"], max_samples)
+    words = tagged.select("path", F.col("no_license_related_words").alias("words"))
     return (
-        first_rows(tagged, ["path"], max_samples)
+        rows_of_paths(words, chosen)
         .where(F.size("words") > 0)
         .select("path", "words", F.lit(fv.NO_LICENSE).alias("label"))
     )
@@ -85,12 +95,14 @@ def family_samples(
 ) -> DataFrame:
     """Files with any license of the family; only its variants stay as labels."""
     of_family = F.exists("mapped_licenses", lambda x: F.startswith(x, F.lit(family)))
-    candidates = files.where(of_family & has_tags(F.col("tags"), none_of=exclude_tags)).select(
+    candidates = files.where(of_family & has_tags(F.col("tags"), none_of=exclude_tags))
+    chosen = first_rows(candidates.select("path"), ["path"], max_samples)
+    wide = candidates.select(
         "path",
         F.col("license_related_words").alias("words"),
         licenses_of_family(F.col("mapped_licenses"), family).alias("labels"),
     )
-    return first_rows(candidates, ["path"], max_samples).where(F.size("words") > 0)
+    return rows_of_paths(wide, chosen).where(F.size("words") > 0)
 
 
 def generalize_labels(samples: DataFrame, families=fv.SPECIAL_FAMILIES) -> DataFrame:

@@ -13,7 +13,7 @@ def linear_scores(features: DataFrame, weights: DataFrame, bias: DataFrame, key:
     label through a single shuffle. Terms without weights add 0 to every label.
     """
     zero = bias.agg(
-        F.array_sort(F.collect_list(F.struct("label", F.lit(0.0).alias("w")))).alias("zero")
+        F.sort_array(F.collect_list(F.struct("label", F.lit(0.0).alias("w")))).alias("zero")
     )
     # Labels a term has no weight for get 0, filled in on the model side.
     known = lambda label: F.try_element_at(F.map_from_entries("per_label"), label)
@@ -47,7 +47,7 @@ def best_label(scores: DataFrame, key: str = "path") -> DataFrame:
 def per_term(weights: DataFrame) -> DataFrame:
     """(term, label, w) to one row per term."""
     return weights.groupBy("term").agg(
-        F.array_sort(F.collect_list(F.struct("label", "w"))).alias("per_label")
+        F.sort_array(F.collect_list(F.struct("label", "w"))).alias("per_label")
     )
 
 
@@ -65,7 +65,7 @@ def naive_bayes(counts: DataFrame, alpha: float = 1.0) -> DataFrame:
     totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
     n_terms = counts.agg(F.count_distinct("term").alias("v")).scalar()
     label_totals = totals.agg(
-        F.array_sort(F.collect_list(F.struct("label", "total"))).alias("labels")
+        F.sort_array(F.collect_list(F.struct("label", "total"))).alias("labels")
     ).scalar()
     by_term = counts.groupBy("term").agg(
         F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("seen")

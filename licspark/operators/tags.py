@@ -28,7 +28,7 @@ def derived_tags(tags: Column, mapped: Column, lrw: Column, no_lrw: Column) -> C
         )
     )
     kept = F.array_except(F.coalesce(tags, no_tags()), _array(fv.DERIVED_TAGS))
-    return F.array_sort(F.array_union(kept, fresh))
+    return F.sort_array(F.array_union(kept, fresh))
 
 
 def add_tag(tags: Column, tag: str) -> Column:

@@ -1,44 +1,55 @@
-"""TF-IDF vectors for ``pyspark.ml``; scoring a row needs no shuffle."""
+"""TF-IDF vectors and linear scores of single rows.
+
+Counting terms is a JVM transformer over a broadcast vocabulary; the arithmetic
+on the sparse counts is numpy in Arrow batches. Nothing is shuffled. Model
+arrays are bounded by (classes x ``max_features``) and travel as broadcasts.
+"""
 
 import numpy as np
-from pyspark import keyword_only
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import Column, DataFrame, functions as F
 
+from licspark.functions.ngrams import word_ngrams
 
-class SublinearCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Replace every count c of a sparse vector by ``1 + ln c``."""
 
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None):
-        super().__init__()
-        self._set(**self._input_kwargs)
+def add_counts(df: DataFrame, vocabulary: list[str], words: str, output: str) -> DataFrame:
+    """Counts of the known 1- to 3-grams of a word array, as a sparse vector."""
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_terms", outputCol=output)
+    return counter.transform(df.withColumn("_terms", word_ngrams(F.col(words)))).drop("_terms")
 
-    def _transform(self, dataset):
-        damp = F.udf(
-            lambda v: SparseVector(v.size, v.indices, 1.0 + np.log(v.values)), VectorUDT(), useArrow=True
-        )
-        return dataset.withColumn(self.getOutputCol(), damp(self.getInputCol()))
 
+def _weights(counts: SparseVector, idf: np.ndarray) -> np.ndarray:
+    values = (1.0 + np.log(counts.values)) * idf[counts.indices]
+    return values / (np.sqrt(values @ values) or 1.0)
 
-def vectorizer(spark: SparkSession, vocab: DataFrame, terms: str = "terms", features: str = "features"):
-    """Pipeline from an array of terms to a TF-IDF vector.
 
-    Only the vocabulary (at most ``max_features`` rows) comes to the driver.
-    """
-    rows = vocab.orderBy("term").collect()
-    counts = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol=terms, outputCol="_counts")
-    return PipelineModel(
-        stages=[
-            counts,
-            SublinearCounts(inputCol="_counts", outputCol="_damped"),
-            ElementwiseProduct(
-                scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="_damped", outputCol="_weighted"
-            ),
-            Normalizer(p=2.0, inputCol="_weighted", outputCol=features),
-        ]
+def tfidf_vector(df: DataFrame, counts: str, idf: np.ndarray) -> Column:
+    """``(1 + ln tf) * idf``, scaled to length 1."""
+    shared = df.sparkSession.sparkContext.broadcast(idf)
+    weigh = F.udf(
+        lambda v: SparseVector(v.size, v.indices, _weights(v, shared.value)), VectorUDT(), useArrow=True
     )
+    return weigh(counts)
+
+
+def linear_classes(df: DataFrame, counts: str, idf, coefficients, links, intercepts) -> Column:
+    """Positions of the predicted classes.
+
+    Without ``links`` the class with the highest margin wins. With them, class
+    k is predicted when its margin, with the flags of the classes before it
+    added through ``links[k]``, is positive.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((idf, coefficients, links, intercepts))
+
+    def classify(v):
+        idf, coefficients, links, intercepts = shared.value
+        margins = coefficients[:, v.indices] @ _weights(v, idf) + intercepts
+        if links is None:
+            return [int(margins.argmax())]
+        flags = np.zeros(len(margins))
+        for k in range(len(flags)):
+            flags[k] = margins[k] + links[k] @ flags > 0
+        return [int(k) for k in np.flatnonzero(flags)]
+
+    return F.udf(classify, "array<int>", useArrow=True)(counts)

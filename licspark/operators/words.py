@@ -6,10 +6,10 @@ from licspark.functions import words as w
 from licspark.functions.comments import license_comment_literals
 from licspark.functions.segments import segments
 from licspark.functions.tokens import TOKEN_PROFILES
-from licspark.session import durable, is_small
+from licspark.operators.lookup import found, lookup_value
+from licspark.session import is_small
 
-LEMMA_ROWS = 200_000
-LEMMA_BUCKETS = 4096
+LEMMA_ROWS = 50_000
 
 
 def add_literals(files: DataFrame, source: str = "segments") -> DataFrame:
@@ -36,44 +36,28 @@ def add_words(files: DataFrame, profile: str = "lemma", source: str = "segments"
     )
 
 
-def lemma_buckets(lemmas: DataFrame) -> DataFrame:
-    """The (token, lemma) table as one row: an array of small maps, picked by hash."""
-    bucket = F.pmod(F.hash("token"), F.lit(LEMMA_BUCKETS))
-    unique = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
-    per_bucket = unique.groupBy(bucket.alias("bucket")).agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("words")
-    )
-    by_bucket = F.map_from_entries(F.collect_list(F.struct("bucket", "words")))
-    return per_bucket.agg(by_bucket.alias("by_bucket")).select(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(LEMMA_BUCKETS - 1)),
-            lambda b: F.try_element_at("by_bucket", b),
-        ).alias("lookup")
-    )
-
-
 def lemmatize(files: DataFrame, lemmas: DataFrame, columns: list[str], key: str = "path") -> DataFrame:
     """Replace the tokens of array columns by their lemmas.
 
     A lemma table of checked size is looked up inside each row. A larger one is
     joined on the token and the arrays are put together again.
     """
-    if is_small(lemmas, LEMMA_ROWS):
-        # One row, bounded by the check above.
-        table = F.broadcast(durable(lemma_buckets(lemmas)))
-        found = lambda t, lookup: F.try_element_at(F.get(lookup, F.pmod(F.hash(t), F.lit(LEMMA_BUCKETS))), t)
-        replaced = {
-            c: F.transform(c, lambda t: F.coalesce(found(t, F.col("lookup")), t)) for c in columns
-        }
-        return files.join(table).withColumns(replaced).drop("lookup")
     unique = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
+    if is_small(lemmas, LEMMA_ROWS):
+        table = F.col("_lookup")
+        replaced = {c: F.transform(c, lambda t: F.coalesce(found(table, t), t)) for c in columns}
+        return (
+            files.withColumn("_lookup", lookup_value(unique, "token", "lemma"))
+            .withColumns(replaced)
+            .drop("_lookup")
+        )
     for column in columns:
         replaced = (
             files.select(key, F.posexplode(column).alias("pos", "token"))
             .join(unique, "token", "left")
             .groupBy(key)
             .agg(
-                F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "token").alias("word"))))[
+                F.sort_array(F.collect_list(F.struct("pos", F.coalesce("lemma", "token").alias("word"))))[
                     "word"
                 ].alias("_words")
             )

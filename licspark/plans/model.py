@@ -43,14 +43,14 @@ class LicenseModel:
 
     def save(self, spark: SparkSession, path: str) -> None:
         for problem in self.problems.values():
-            problem.save(path)
+            problem.save(spark, path)
         if self.license_texts is not None:
             store.save_license_texts(self.license_texts, f"{path}/licenses")
         store.save_config(spark, {**self.info(), "has_texts": self.license_texts is not None}, f"{path}/config")
 
     @classmethod
     def _read(cls, spark, path, config):
-        problems = [Problem.load(path, name, c) for name, c in config["problems"].items()]
+        problems = [Problem.load(spark, path, name) for name in config["problems"]]
         texts = spark.read.parquet(f"{path}/licenses") if config.get("has_texts") else None
         return cls(problems, texts)
 

@@ -2,12 +2,14 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from licspark import fixed_values as fv
 from licspark.functions.filetypes import file_type
 from licspark.operators.holdout import tag_holdout
 from licspark.operators.mapping import map_licenses
 from licspark.operators.tags import derived_tags, no_tags
 from licspark.operators.words import add_words, lemmatize
-from licspark.sources.files import with_content
+
+WORDS = ["license_related_words", "no_license_related_words"]
 
 
 def update_files(
@@ -19,16 +21,24 @@ def update_files(
     source: str = "segments",
     faithful_mapping: bool = False,
 ) -> DataFrame:
-    """Files with content to fully described files; ``source="comment"`` uses the best comment."""
-    mapped = map_licenses(files, mapping, faithful_mapping)
-    described = with_content(mapped, contents).withColumn(
-        "file_type", file_type(F.col("content"), F.col("path"))
-    )
-    worded = add_words(described, profile, source).drop("content")
+    """Files with content to fully described files; ``source="comment"`` uses the best comment.
+
+    Texts are read once and turned into words where they lie; only the words
+    meet the files by path, so the corpus text itself is never shuffled. Files
+    without content keep their licenses and get no words.
+    """
+    typed = contents.select("path", "content").withColumn("file_type", file_type(F.col("content"), F.col("path")))
+    worded = add_words(typed, profile, source).drop("content")
     if lemmas is not None and profile == "lemma":
-        worded = lemmatize(worded, lemmas, ["license_related_words", "no_license_related_words"])
+        worded = lemmatize(worded, lemmas, WORDS)
+    mapped = map_licenses(files.drop("file_type", "has_lrw_match", *WORDS), mapping, faithful_mapping)
+    described = (
+        mapped.join(worded, "path", "left")
+        .withColumn("file_type", F.coalesce("file_type", F.lit(fv.UNKNOWN_TYPE)))
+        .withColumn(WORDS[0], F.coalesce(WORDS[0], F.array().cast("array<string>")))
+    )
     tags = F.col("tags") if "tags" in files.columns else no_tags()
-    return worded.withColumn(
+    return described.withColumn(
         "tags",
         derived_tags(
             tags,

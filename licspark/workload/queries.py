@@ -353,15 +353,10 @@ def collapsed_comments(spark, sf_dir):
     return files.select("path", F.inline(merged))
 
 
-def _segmented(spark, sf_dir):
-    return inputs.code_files(spark, sf_dir).withColumn(
-        "segments", segments.segments(F.col("content"), F.col("file_type"))
-    )
-
-
 @query
 def segments_all(spark, sf_dir):
-    rows = _segmented(spark, sf_dir).select("path", F.posexplode("segments").alias("no", "s"))
+    found = segments.segments(F.col("content"), F.col("file_type"))
+    rows = inputs.code_files(spark, sf_dir).select("path", F.posexplode(found).alias("no", "s"))
     return rows.select(
         "path",
         "no",
@@ -374,29 +369,28 @@ def segments_all(spark, sf_dir):
 
 @query
 def markup_segments(spark, sf_dir):
-    pages = inputs.page_files(spark, sf_dir).withColumn(
-        "segments", segments.segments(F.col("content"), F.col("file_type"))
-    )
-    rows = pages.select("page_id", F.posexplode("segments").alias("no", "s"))
+    found = segments.segments(F.col("content"), F.col("file_type"))
+    rows = inputs.page_files(spark, sf_dir).select("page_id", F.posexplode(found).alias("no", "s"))
     return rows.select("page_id", "no", F.col("s.seg_type").alias("seg_type"), F.col("s.body").alias("body"))
 
 
-def _comments(spark, sf_dir):
-    files = inputs.code_files(spark, sf_dir).where(segments.language_marks(F.col("file_type")).isNotNull())
-    return files.withColumn("comments", cm.comments_by_kind(F.col("content"), F.col("file_type")))
+def _program_files(spark, sf_dir):
+    return inputs.code_files(spark, sf_dir).where(segments.language_marks(F.col("file_type")).isNotNull())
+
+
+def _comments():
+    return cm.comments_by_kind(F.col("content"), F.col("file_type"))
 
 
 @query
 def comment_kinds(spark, sf_dir):
-    rows = _comments(spark, sf_dir).select("path", F.posexplode("comments").alias("no", "body"))
+    rows = _program_files(spark, sf_dir).select("path", F.posexplode(_comments()).alias("no", "body"))
     return rows.withColumn("n_keywords", cm.keyword_count(F.col("body")))
 
 
 @query
 def record_high_comments(spark, sf_dir):
-    return _comments(spark, sf_dir).select(
-        "path", cm.record_high_comments(F.col("comments")).alias("comment")
-    )
+    return _program_files(spark, sf_dir).select("path", cm.record_high_comments(_comments()).alias("comment"))
 
 
 @query
@@ -537,7 +531,7 @@ def tfidf_weights(spark, sf_dir):
 @query
 def holdout_tag(spark, sf_dir):
     tagged = holdout.tag_holdout(_mapped_files(spark, sf_dir))
-    return tagged.select("path", joined(F.array_sort("tags")).alias("tags"))
+    return tagged.select("path", joined(F.sort_array("tags")).alias("tags"))
 
 
 def _training_files(spark, sf_dir):
@@ -545,7 +539,7 @@ def _training_files(spark, sf_dir):
     docs = inputs.doc_licenses(spark, sf_dir).select(
         "doc_id",
         "path",
-        F.array_sort("licenses").alias("mapped_licenses"),
+        F.sort_array("licenses").alias("mapped_licenses"),
         tokens.word_tokens(F.col("text")).alias("license_related_words"),
     )
     # Every fourth document stands for a file with other words but no license text.
@@ -742,7 +736,7 @@ def chain_labels(spark, sf_dir):
     samples = docs.select("path", tokens.word_tokens(F.col("text")).alias("words"), F.col("licenses").alias("labels"))
     problem = models.fit_chain(samples, "labels", max_iter=5)
     scored = problem.predict(samples, "words", "guess")
-    return scored.select("path", joined(F.array_sort("labels")).alias("labels"), joined("guess").alias("guess"))
+    return scored.select("path", joined(F.sort_array("labels")).alias("labels"), joined("guess").alias("guess"))
 
 
 def _model(spark, sf_dir):
