@@ -8,12 +8,13 @@ from pyspark.sql import Column, functions as F
 
 from licspark.functions.text import LINE_END, join_lines, let, strip
 
-# One alternative per kind of node; top-level alternation only, and only
-# character-class or lazy-dot loops, so long pages need no matcher stack.
+# One alternative per kind of node. Loops run over single characters or are
+# possessive, so long pages need no matcher stack. A "<" that starts no tag
+# belongs to the text around it.
 NODE = (
     r"(?is)<!--.*?-->|<!doctype[^>]*>|<\?.*?>"
     r"|<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>"
-    r"|<[a-z/!][^>]*>|[^<]+|<"
+    r"|<[a-z/!][^>]*>|(?:[^<]++|<(?![a-z/!?]))++|<"
 )
 
 # Character references decoded in text, the ampersand last.
