@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from licspark.functions.text import let, positions, runs
+from licspark.functions.text import let, positions
 
 
 def _extend(grams: Column, words: Column, n: int) -> Column:
@@ -36,10 +36,17 @@ def term_counts(terms: Column) -> Column:
 
     def count(ordered):
         starts = positions(ordered, lambda t, i: (i == 0) | (t != F.get(ordered, i - 1)))
-        return runs(
-            ordered,
-            starts,
-            lambda run: F.struct(F.get(run, F.lit(0)).alias("term"), F.size(run).cast("long").alias("tf")),
-        )
+        bound = F.struct(ordered.alias("terms"), starts.alias("starts"), F.size(ordered).alias("n"))
+
+        def count_from(b):
+            end = lambda k: F.coalesce(F.get(b["starts"], k + 1), b["n"])
+            return F.transform(
+                b["starts"],
+                lambda start, k: F.struct(
+                    F.get(b["terms"], start).alias("term"), (end(k) - start).cast("long").alias("tf")
+                ),
+            )
+
+        return let(bound, count_from)
 
     return let(F.sort_array(terms), count)

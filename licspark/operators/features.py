@@ -50,15 +50,12 @@ def tfidf(
     The vocabulary is limited by ``max_features``, so it is looked up inside the
     rows: no shuffle.
     """
-    weighted = lambda terms, lookup: F.filter(
-        F.transform(
-            terms,
-            lambda t: F.struct(
-                t["term"].alias("term"),
-                ((F.log(t["tf"].cast("double")) + 1.0) * found(lookup, t["term"])).alias("weight"),
-            ),
+    weighted = lambda terms, lookup: F.transform(
+        terms,
+        lambda t: F.struct(
+            t["term"].alias("term"),
+            ((F.log(t["tf"].cast("double")) + 1.0) * found(lookup, t["term"])).alias("weight"),
         ),
-        lambda t: t["weight"].isNotNull(),
     )
     norm = lambda terms: F.sqrt(
         F.aggregate(terms, F.lit(0.0), lambda total, t: total + t["weight"] * t["weight"])
@@ -69,7 +66,9 @@ def tfidf(
             terms, lambda t: F.struct(t["term"].alias("term"), (t["weight"] / n).alias("weight"))
         ),
     )
-    counts = term_counts(word_ngrams(F.col(words), n_max))
+    # Unknown terms leave before the known ones are counted.
+    known = F.filter(word_ngrams(F.col(words), n_max), lambda t: found(F.col("_idf"), t).isNotNull())
+    counts = term_counts(known)
     # The generator stands on the expression itself: on a column, Spark would add
     # a filter that evaluates the expression again.
     return docs.withColumn("_idf", lookup_value(vocab, "term", "idf")).select(

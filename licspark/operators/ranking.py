@@ -13,7 +13,7 @@ def rank_within(
     One range shuffle sorts by (group, order), so a hot group spreads over many
     partitions. ``monotonically_increasing_id`` then numbers the rows inside
     each partition, and the few (group, partition) sizes (at most groups plus
-    partitions) give the offsets and the group sizes. The numbered rows are checkpointed, because ranges are drawn from a sample and
+    partitions) give the offsets and the group sizes. The numbered rows are stored, because ranges are drawn from a sample and
     both uses must see the same ones. ``order`` should be unique in a group.
     """
     staged = durable(

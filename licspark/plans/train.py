@@ -22,7 +22,7 @@ def sample_sets(
     families=(),
     exclude_holdout: bool = True,
 ) -> dict[str, DataFrame]:
-    """Samples per problem name. The capped sets are checkpointed: later steps read them often."""
+    """Samples per problem name. The capped sets are stored: later steps read them often."""
     excluded = [fv.TEST] if exclude_holdout else []
 
     def of_tag(tag):

@@ -31,9 +31,14 @@ def new_table_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint that survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a table in the shared folder, which survives lost executors.
+
+    Unlike a checkpoint, later steps read only the columns they need, and Spark
+    knows the size of the table when it plans joins.
+    """
+    path = new_table_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -554,8 +554,10 @@ def _training_files(spark, sf_dir):
         F.col("license_related_words"),
         F.col("no_license_related_words"),
     )
-    return docs.withColumn(
-        "tags", F.when(F.col("doc_id") % 7 == 0, tags.add_tag(derived, fv.TEST)).otherwise(derived)
+    return durable(
+        docs.withColumn(
+            "tags", F.when(F.col("doc_id") % 7 == 0, tags.add_tag(derived, fv.TEST)).otherwise(derived)
+        )
     )
 
 
@@ -654,18 +656,18 @@ def _language_terms(spark, sf_dir):
 
 @query
 def naive_bayes_weights(spark, sf_dir):
-    counts = scoring.naive_bayes_counts(_language_terms(spark, sf_dir))
+    counts = durable(scoring.naive_bayes_counts(_language_terms(spark, sf_dir)))
     weights = scoring.naive_bayes(counts)
     return weights.select("label", "term", rounded("w").alias("w"))
 
 
 @query
 def naive_bayes_predict(spark, sf_dir):
-    terms = _language_terms(spark, sf_dir)
-    weights = scoring.naive_bayes(scoring.naive_bayes_counts(terms))
+    terms = durable(_language_terms(spark, sf_dir))
+    weights = scoring.naive_bayes(durable(scoring.naive_bayes_counts(terms)))
     bias = scoring.naive_bayes_priors(_documents(spark, sf_dir).select("path", F.col("lang").alias("label")))
     scores = scoring.linear_scores(
-        terms.select("path", "term", F.col("tf").alias("x")), scoring.per_term(weights), bias
+        terms.select("path", "term", F.col("tf").alias("x")), durable(scoring.per_term(weights)), bias
     )
     return scoring.best_label(scores)
 
@@ -676,11 +678,11 @@ def linear_score(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     vocab = features.vocabulary(docs, max_features=1000, n_max=1)
     x = features.tfidf(docs, vocab, n_max=1).withColumnRenamed("weight", "x")
-    counts = scoring.naive_bayes_counts(_language_terms(spark, sf_dir))
+    counts = durable(scoring.naive_bayes_counts(_language_terms(spark, sf_dir)))
     totals = counts.groupBy("term").agg(F.sum("n").alias("all"))
     weights = counts.join(totals, "term").select("term", "label", (F.col("n") / F.col("all")).alias("w"))
     bias = docs.groupBy(F.col("lang").alias("label")).agg((-F.count("*") / F.lit(100000.0)).alias("b"))
-    scores = scoring.linear_scores(x, scoring.per_term(weights), bias)
+    scores = scoring.linear_scores(x, durable(scoring.per_term(weights)), bias)
     return scores.select("path", "label", rounded("score").alias("score"))
 
 
@@ -740,7 +742,7 @@ def chain_labels(spark, sf_dir):
 
 
 def _model(spark, sf_dir):
-    files = durable(_training_files(spark, sf_dir))
+    files = _training_files(spark, sf_dir)
     return train.train(files, _training_licenses(files), max_samples=SAMPLE_CAP, families=("HPND",), max_iter=5)
 
 
