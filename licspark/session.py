@@ -9,7 +9,7 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for checkpoints, taken from the session.
+    """Folder for stored steps and streams, taken from the session.
 
     A local session without one gets a temporary folder. A cluster session
     without one is an error, since executors share no local disk.
@@ -20,8 +20,6 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="licspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 

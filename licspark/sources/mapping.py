@@ -1,5 +1,8 @@
 """License mapping files."""
 
+import warnings
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from licspark.operators.mapping import license_mapping, mapping_template
@@ -14,9 +17,17 @@ def empty_mapping(spark: SparkSession) -> DataFrame:
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     """Mapping table of a ``;``-separated file; the last of repeated names counts.
 
-    A file is one partition here, so the row ids follow the lines.
+    The hand-written file is read whole, so positions follow its lines. A
+    missing file gives a warning and an empty mapping.
     """
-    lines = spark.read.text(path, wholetext=True).select(
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        warnings.warn(f"no license mapping at {path}")
+        return empty_mapping(spark)
+    lines = text.select(
         F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value")
     )
     return license_mapping(lines.where(F.trim("value") != ""))

@@ -127,6 +127,11 @@ def test_empty_mapping_cleans_names(spark):
     assert got == ["MIT"]
 
 
+def test_missing_mapping_file(spark, tmp_path):
+    with pytest.warns(UserWarning, match="no license mapping"):
+        assert mapping_source.read_mapping(spark, str(tmp_path / "none.csv")).count() == 0
+
+
 def test_mapping_template(spark, tmp_path):
     files = spark.createDataFrame([(["b", "A"],), (["c", "b"],)], "licenses array<string>")
     mapping_source.write_mapping_template(files, str(tmp_path / "out"))
@@ -281,6 +286,10 @@ def test_files_on_disk(spark, tmp_path):
     assert got == {"a.c": "// caf\xe9 \x85 x", "b.py": "# hi"}
     assert file_source.read_contents(spark, str(tmp_path / "in" / "a.c")).count() == 1
     assert file_source.read_files(spark, str(tmp_path / "in"), "*.py").count() == 1
+    files = spark.createDataFrame([("a",), ("b",)], "path string")
+    contents = spark.createDataFrame([("a", "x")], "path string, content string")
+    assert {tuple(r) for r in file_source.with_content(files, contents).collect()} == {("a", "x"), ("b", None)}
+    assert [r.path for r in file_source.missing_content(files, contents).collect()] == ["b"]
 
 
 def test_license_texts(spark):

@@ -29,6 +29,31 @@ def test_query(spark, sf_dir, con, name):
         assert compare(got, con.execute(entry.oracle_sql()[name]).df()) == "ok"
 
 
+def test_stem_counts_against_plain_python(spark, sf_dir):
+    from collections import Counter
+
+    import regex
+
+    from licspark.functions.porter import stem
+    from licspark.functions.tokens import STOP_WORDS, WORD_OR_SIGN
+
+    want = Counter()
+    for row in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect():
+        for token in regex.findall(WORD_OR_SIGN, row.text):
+            token = regex.sub("[^0-9a-zA-Z.]", "", token.lower())
+            if token and token not in STOP_WORDS:
+                want[stem(token)] += 1
+    got = {r.stem: r.n for r in entry.queries()["stem_counts"](spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_fits_are_useful(spark, sf_dir):
+    language = entry.queries()["svm_language"](spark, sf_dir).toPandas()
+    assert (language.label == language.guess).mean() > 0.9
+    chain = entry.queries()["chain_labels"](spark, sf_dir).toPandas()
+    assert (chain.labels == chain.guess).mean() > 0.5
+
+
 def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
