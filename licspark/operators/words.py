@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from licspark import fixed_values as fv
 from licspark.functions import words as w
 from licspark.functions.comments import license_comment_literals
 from licspark.functions.segments import segments
@@ -31,7 +32,7 @@ def add_words(files: DataFrame, profile: str = "lemma", source: str = "segments"
         add_literals(files, source)
         .withColumn("license_related_words", w.words_or_whole_text(content, matched, tokenize))
         .withColumn("no_license_related_words", w.no_license_words(content, literals, tokenize))
-        .withColumn("has_lrw_match", F.exists("literals", lambda x: x.rlike(w.fv.LRW_PATTERN)))
+        .withColumn("has_lrw_match", F.exists("literals", lambda x: x.rlike(fv.LRW_PATTERN)))
         .drop("literals")
     )
 

@@ -1,6 +1,6 @@
 """Training job."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from licspark import fixed_values as fv
 from licspark.operators.models import TRAINERS, fit_chain
