@@ -1,31 +1,55 @@
-"""Session services shared by the operators: durable lineage cuts and size-checked broadcasts."""
+"""Session services shared by the operators: intermediate tables in the folder all executors share."""
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BROADCAST_ROWS = 100_000
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for stored steps and streams, taken from the session.
+    """Folder for stored steps and streams, read from spark.checkpoint.dir.
 
-    A local session without one gets a temporary folder. A cluster session
-    without one is an error, since executors share no local disk.
+    Where it is unset, a session that runs inside one process (``local[n]``) gets
+    a folder of its own; any other session is refused, since its executors and
+    driver need one folder that all of them reach.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="licspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors can reach")
+    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="licspark-"))
+
+
+_OWN: dict[str, str] = {}
+
+
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/licspark/{spark.sparkContext.applicationId}"
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """Fresh path for an intermediate table in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/licspark/{name}-{uuid.uuid4().hex}"
+    """Fresh path for an intermediate table; the application's tables go when its Python driver ends."""
+    folder = _application_folder(spark)
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(release, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+_FOLDERS: set[str] = set()
+
+
+def release(spark: SparkSession, folder: str | None = None) -> None:
+    """Delete the intermediate tables of this application; results that read them must be written before."""
+    folder = folder or _application_folder(spark)
+    _FOLDERS.discard(folder)
+    context = spark.sparkContext
+    if context._jsc is None:
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -39,6 +63,9 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 100_000
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting at most ``max_rows + 1`` rows.
 
