@@ -5,6 +5,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from licspark.llm.ngram_jaccard import ngram_jaccard_classes
+from licspark.llm.piece_codec import decode_pieces, encode_pieces
+from licspark.llm.token_frames import token_frames
+
+#: The id that ends a document in the token files.
+END_ID = 2
+
+
+def _tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file on this and every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +27,21 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = token_frames(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), END_ID)
+    return frames.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _tokenizer("piece_bpe_32k.model")
+    coded = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents"), model), model)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op7_token_frames": op7_token_frames,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 #: DuckDB twins over whole tables, where SQL can express the query.
