@@ -4,8 +4,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from licspark.llm.imatch import edit_probe
+from licspark.llm.language_bayes import predict_languages, train_languages
 from licspark.llm.ngram_jaccard import ngram_jaccard_classes
 from licspark.llm.piece_codec import decode_pieces, encode_pieces
+from licspark.llm.quality_rules import quality_rules
 from licspark.llm.token_frames import token_frames
 
 #: The id that ends a document in the token files.
@@ -27,6 +30,26 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def _remainder(divisor: int):
+    """crc32 of the doc_id as text, modulo `divisor`."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def op5_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    model = train_languages(docs.where(~held_out))
+    return predict_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_probe(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = token_frames(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), END_ID)
     return frames.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -40,6 +63,9 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_quality_rules": op2_quality_rules,
+    "op5_language_bayes": op5_language_bayes,
+    "op6_imatch": op6_imatch,
     "op7_token_frames": op7_token_frames,
     "op9_sentencepiece": op9_sentencepiece,
 }
