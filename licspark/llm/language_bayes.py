@@ -116,6 +116,21 @@ def train_languages(docs: DataFrame) -> LanguageModel:
     return LanguageModel([r.lang for r in found], totals[:, :BUCKETS], totals[:, BUCKETS])
 
 
+def _predicted(column: pa.Array, model: LanguageModel) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    """(first row, languages, scores) for groups of whole texts."""
+    for first, end, data, offsets in textops.slices(column):
+        buckets, bounds = gram_buckets(*letters(data, offsets))
+        names, scores = [UNKNOWN] * (end - first), np.zeros(end - first)
+        for k, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            if high > low and model.languages:
+                counts = np.bincount(buckets[low:high], minlength=BUCKETS)
+                seen = np.flatnonzero(counts)
+                logs = counts[seen] @ model.weights[seen] + model.prior
+                best = int(logs.argmax())
+                names[k], scores[k] = model.languages[best], 1 / np.exp(logs - logs[best]).sum()
+        yield first, names, scores
+
+
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred and score (probability of that language) per row of `docs` (doc_id, text; others are ignored).
 
@@ -125,21 +140,25 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
-        model = shared.value
         for batch in batches:
-            for first, end, data, offsets in textops.slices(batch.column("text")):
-                buckets, bounds = gram_buckets(*letters(data, offsets))
-                names, scores = [UNKNOWN] * (end - first), np.zeros(end - first)
-                for k, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                    if high > low and model.languages:
-                        counts = np.bincount(buckets[low:high], minlength=BUCKETS)
-                        seen = np.flatnonzero(counts)
-                        logs = counts[seen] @ model.weights[seen] + model.prior
-                        best = int(logs.argmax())
-                        names[k], scores[k] = model.languages[best], 1 / np.exp(logs - logs[best]).sum()
+            for first, names, scores in _predicted(batch.column("text"), shared.value):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, end - first), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"]
+                    [batch.column("doc_id").slice(first, len(names)), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"]
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, min_score: float) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose language is found with `min_score` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def work(batches):
+        for batch in batches:
+            for first, names, scores in _predicted(batch.column(at).cast(pa.string()), shared.value):
+                known = np.array([name != UNKNOWN for name in names], bool) & (scores >= min_score)
+                yield batch.slice(first, len(names)).filter(pa.array(known))
+
+    return docs.mapInArrow(work, docs.schema)

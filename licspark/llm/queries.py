@@ -4,6 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from licspark.llm.bestfit import best_fit_packing
+from licspark.llm.boosted_quality import score_quality, train_quality
+from licspark.llm.factorization import score_toxicity, train_toxicity
+from licspark.llm.host_suffixes import extract_main_text
 from licspark.llm.imatch import edit_probe
 from licspark.llm.language_bayes import predict_languages, train_languages
 from licspark.llm.ngram_jaccard import ngram_jaccard_classes
@@ -27,7 +31,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_classes(_table(spark, sf_dir, "documents"))
+    return ngram_jaccard_classes(_table(spark, sf_dir, "documents")).drop("set_id", "group_id")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +43,22 @@ def _remainder(divisor: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
 
 
+def op3_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def _scored(spark: SparkSession, sf_dir: str, train, score) -> DataFrame:
+    """Fit on labels outside the held-out fifth, score all documents."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    model = train(docs, labels.where(~held_out))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, train_quality, score_quality)
+
+
 def op5_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
@@ -55,19 +75,31 @@ def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, train_toxicity, score_toxicity)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _tokenizer("piece_bpe_32k.model")
     coded = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents"), model), model)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op10_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
+    "op3_host_suffixes": op3_host_suffixes,
+    "op4_boosted_quality": op4_boosted_quality,
     "op5_language_bayes": op5_language_bayes,
     "op6_imatch": op6_imatch,
     "op7_token_frames": op7_token_frames,
+    "op8_factorization": op8_factorization,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_bestfit": op10_bestfit,
 }
 
 #: DuckDB twins over whole tables, where SQL can express the query.
