@@ -1,19 +1,19 @@
 """Similarity join of documents on their sets of word n-grams, as a blocked sparse matrix product.
 
 Rows of the matrix are distinct n-gram sets (documents with equal sets are one row),
-columns are n-grams. Two rows link when their Jaccard similarity reaches the
-threshold. Three passes over the texts, all in Spark tasks:
-
-1. set sizes and set ids; counts of n-grams in a table of fixed size.
-2. The columns that can decide: in the order of (count, hash), a link shows in the
-   first `n - ceil(t * n) + 1` n-grams of both rows and in the first
-   `n - ceil(2t / (1 + t) * n) + 1` of the smaller one. These postings are dealt to
-   column blocks; rows that meet there, and whose sizes allow a link, are joined to
-   candidate groups.
-3. Whole rows of the candidate groups are dealt to row blocks, and each pair of row
-   blocks of a group is multiplied: overlap counts are accumulated, pairs below the
-   bound `t / (1 + t) * (|a| + |b|)` are dropped, and only link counts and a spanning
-   forest of the links leave the task. No pair of rows is ever a Spark row.
+columns are n-grams, dealt to column blocks by hash. Two rows link when their Jaccard
+similarity reaches the threshold t. All work is in Spark tasks:
+
+1. Column blocks count in how many rows each n-gram stands. A row of n n-grams can
+   link only if t * n of them stand in other rows too; the rest is dropped.
+2. The rows left are read again in full, and their n-grams counted exactly. In the
+   order of (count, hash), a link shows in the first `n - ceil(t * n) + 1` n-grams of
+   both rows and in the first `n - ceil(2t / (1 + t) * n) + 1` of the smaller one. Rows
+   that meet there, and whose sizes allow a link, are joined to candidate groups.
+3. Rows of a candidate group are dealt to row blocks, and each pair of row blocks of a
+   group is multiplied: overlap counts are accumulated, pairs below the bound
+   `t / (1 + t) * (|a| + |b|)` are dropped, and only link counts and a spanning forest
+   of the links leave the task. No pair of rows is ever a Spark row.
 
 Cost follows the texts, but for groups of g different sets with common rare n-grams,
 whose g * g overlaps are counted (in blocks), since each may be a link.
@@ -23,18 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from licspark.llm import textops
+from licspark.llm.chunks import ranges
 from licspark.llm.components import components
 from licspark.session import durable
 
 WORDS = 5
 PERCENT = 75
-#: Counters of the table that orders the n-grams; its 4 MB are the only thing broadcast.
-COUNTERS = 1 << 20
-_CHUNKS = 16
 #: Rows of a block; a block pair holds BLOCK_ROWS ** 2 counts.
 BLOCK_ROWS = 768
 _COMMON = 24
@@ -72,45 +69,13 @@ def _set_rows(texts: DataFrame, n: int) -> DataFrame:
                 ids.append(_set_ids(grams, bounds))
             ids = np.concatenate(ids)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.concatenate(sizes)), _fixed_binary(ids), pa.array(ids[:, 0].view(np.int64))],
+                [batch.column("doc_id"), pa.array(np.concatenate(sizes)), _fixed_binary(ids), pa.array(ids[:, 0].copy().view(np.int64))],
                 names=["doc_id", "n_shingles", "set_id", "key"],
             )
 
     return texts.mapInArrow(work, "doc_id long, n_shingles long, set_id binary, key long")
 
 
-def _gram_counts(texts: DataFrame, n: int) -> np.ndarray:
-    """Rough n-gram counts over all texts: COUNTERS counters by hash, added up per range of counters."""
-    width = COUNTERS // _CHUNKS
-
-    def work(batches):
-        total = np.zeros(COUNTERS, np.uint32)
-        for batch in batches:
-            for _, grams, _ in _sets(batch.column("text"), n):
-                total += np.bincount((grams % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-        pack = zstandard.ZstdCompressor(level=1)
-        if total.any():
-            parts = [pack.compress(total[k * width : (k + 1) * width].tobytes()) for k in range(_CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.uint64)
-        for batch in batches:
-            for part in batch.column("counts"):
-                total += np.frombuffer(zstandard.ZstdDecompressor().decompress(part.as_py()), np.uint32)
-        packed = zstandard.ZstdCompressor(level=1).compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], names=["chunk", "counts"])
-
-    # two levels, so that no task reads a part from every input split
-    salted = texts.mapInArrow(work, "chunk int, counts binary").withColumn("part", F.pmod(F.monotonically_increasing_id() / (1 << 33), F.lit(32)).cast("int"))
-    once = salted.groupBy("chunk", "part").applyInArrow(add, "chunk int, counts binary")
-    rows = once.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
-    table = np.zeros(COUNTERS, np.uint32)
-    for row in rows:
-        table[row.chunk * width : (row.chunk + 1) * width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.counts), np.uint32)
-    return table
-
-
 def _sizes_fit(small: np.ndarray, large: np.ndarray, percent: int) -> np.ndarray:
     return 100 * small >= percent * large
 
@@ -132,64 +97,191 @@ def _forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
             return root
 
 
-def _postings(texts: DataFrame, counts, n: int, percent: int, blocks: int) -> DataFrame:
-    """Deciding n-grams, packed per task and column block: block, rows (set key, size, number of grams), grams (hash, flag)."""
+_HEAD = np.dtype([("key", "<u8"), ("size", "<u4"), ("grams", "<u4")])
+_PACKED = "block int, rows binary, grams binary"
+
+
+def _blocks_of(grams: np.ndarray, blocks: int) -> np.ndarray:
+    return ((grams >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
+
+
+def _packed(keys: np.ndarray, sizes: np.ndarray, row: np.ndarray, block: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """Entries (row, block, 32-bit value), rows ascending, packed per block: heads (key, size, number of values) and values."""
+    order = np.argsort(block * max(1, len(keys)) + row, kind="stable")
+    row, block, values = row[order], block[order], values[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])
+    heads = np.flatnonzero(new)
+    head = np.zeros(len(heads), _HEAD)
+    head["key"], head["size"] = keys[row[heads]], np.minimum(sizes[row[heads]], 0xFFFFFFFF)
+    gram_at = np.append(heads, len(row))
+    head["grams"] = np.diff(gram_at)
+    block = block[heads]
+    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(heads) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(heads))[: len(cuts)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(block[cuts].astype(np.int32)),
+            pa.array([head[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()),
+            pa.array([values[gram_at[i] : gram_at[j]].tobytes() for i, j in zip(cuts, ends)], pa.binary()),
+        ],
+        names=["block", "rows", "grams"],
+    )
+
+
+def _unpacked(batches) -> tuple[np.ndarray, np.ndarray]:
+    heads, values = [np.zeros(0, _HEAD)], [np.zeros(0, "<u4")]
+    for batch in batches:
+        heads += [np.frombuffer(x.as_py(), _HEAD) for x in batch.column("rows")]
+        values += [np.frombuffer(x.as_py(), "<u4") for x in batch.column("grams")]
+    return np.concatenate(heads), np.concatenate(values)
+
+
+def _all_columns(texts: DataFrame, n: int, blocks: int) -> DataFrame:
+    """Every n-gram of every distinct set of a slice, packed per column block."""
 
     def work(batches):
-        table = counts.value
         for batch in batches:
             for _, grams, bounds in _sets(batch.column("text"), n):
                 sizes = np.diff(bounds)
                 keys = _set_ids(grams, bounds)[:, 0]
                 _, firsts = np.unique(keys, return_index=True)
-                some = firsts[sizes[firsts] > 0]
-                sizes, keys = sizes[some], keys[some]
-                row = np.repeat(np.arange(len(some)), sizes)
-                own = np.concatenate([np.zeros(0, np.int64), *(np.arange(bounds[i], bounds[i + 1]) for i in some.tolist())])
-                chosen = grams[own]
-                weight = table[(chosen % np.uint64(COUNTERS)).astype(np.int64)]
-                # rank by (count, hash) within each row: grams are sorted by hash already, so one stable sort will do
-                order = np.argsort((row.astype(np.uint64) << np.uint64(32)) | weight, kind="stable")
-                rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                need = _ceil_div(percent * sizes, 100)
-                core = _ceil_div(2 * percent * sizes, 100 + percent)
-                inside = rank < np.repeat(sizes - need + 1, sizes)
-                row, chosen, rank = row[inside], chosen[order][inside], rank[inside]
-                flag = rank < np.repeat(sizes - core + 1, sizes)[inside]
-                block = (chosen >> np.uint64(33)) % np.uint64(blocks)
-                order = np.argsort(block.astype(np.int64) * len(some) + row, kind="stable")
-                row, block, chosen, flag = row[order], block[order], chosen[order], flag[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])
-                heads = np.flatnonzero(new)
-                head = np.zeros(len(heads), [("key", "<u8"), ("size", "<u4"), ("grams", "<u4")])
-                head["key"], head["size"] = keys[row[heads]], np.minimum(sizes[row[heads]], 0xFFFFFFFF)
-                head["grams"] = np.diff(np.append(heads, len(row)))
-                # the lowest bit of the 32 kept tells whether the gram is in the shorter prefix
-                low = (chosen.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | flag.astype(np.uint32)
-                cuts = np.flatnonzero(np.append(True, block[heads][1:] != block[heads][:-1])) if len(heads) else np.zeros(0, np.int64)
-                ends = np.append(cuts[1:], len(heads))
-                gram_at = np.append(heads, len(row))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(block[heads][cuts].astype(np.int32)),
-                        pa.array([head[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()),
-                        pa.array([low[gram_at[i] : gram_at[j]].tobytes() for i, j in zip(cuts, ends)], pa.binary()),
-                    ],
-                    names=["block", "rows", "grams"],
-                )
+                some = np.zeros(len(keys), bool)
+                some[firsts] = sizes[firsts] > 0
+                inside = np.repeat(some, sizes)
+                row = np.repeat(np.cumsum(some) - 1, sizes)[inside]
+                grams = grams[inside]
+                yield _packed(keys[some], sizes[some], row, _blocks_of(grams, blocks), grams.astype(np.uint32))
+
+    return texts.mapInArrow(work, _PACKED)
 
-    return texts.mapInArrow(work, "block int, rows binary, grams binary")
+
+def _likely_rows(columns: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Keys of the sets that share enough n-grams with other sets to link with any of them."""
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, gram = _unpacked(batches)
+        keys, first, code = np.unique(head["key"], return_index=True, return_inverse=True)
+        # copies of a set in several tasks are one row
+        entries = np.sort((gram.astype(np.uint64) << np.uint64(32)) | np.repeat(code, head["grams"]).astype(np.uint64))
+        entries = entries[np.append(True, entries[1:] != entries[:-1])] if len(entries) else entries
+        gram, code = entries >> np.uint64(32), (entries & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        common = np.zeros(len(gram), bool)
+        common[1:] = gram[1:] == gram[:-1]
+        common[:-1] |= common[1:]
+        out = np.zeros(len(keys), [("key", "<u8"), ("size", "<u4"), ("common", "<u4")])
+        out["key"], out["size"], out["common"] = keys, head["size"][first], np.bincount(code[common], minlength=len(keys))
+        part = keys.view(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        out, part = out[order], part[order]
+        cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        blobs = [out[i:j].tobytes() for i, j in zip(cuts, np.append(cuts[1:], len(part)))]
+        yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "shared"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.frombuffer(x.as_py(), [("key", "<u8"), ("size", "<u4"), ("common", "<u4")]) for batch in batches for x in batch.column("shared")]
+        rows = np.concatenate(found)
+        keys, first, code = np.unique(rows["key"], return_index=True, return_inverse=True)
+        common = np.bincount(code, rows["common"], len(keys)).astype(np.int64)
+        kept = keys[100 * common >= percent * rows["size"][first].astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64))], names=["key"])
+
+    shared = columns.groupBy("block").applyInArrow(share, "part int, shared binary")
+    return shared.groupBy("part").applyInArrow(judge, "key long")
+
+
+_PLACE = np.dtype([("key", "<u8"), ("rest", "<u8"), ("block", "<u4"), ("grams", "<u4")])
+
+
+def _frequencies(matrix: DataFrame, blocks: int, parts: int) -> DataFrame:
+    """For each part of the rows, per row and column block: in how many rows each of its n-grams stands (255: or more)."""
+
+    def send(batches):
+        for batch in batches:
+            ids = np.frombuffer(b"".join(batch.column("set_id").to_pylist()), "<u8").reshape(-1, 2)
+            lists = [np.frombuffer(x.as_py(), "<u8") for x in batch.column("grams")]
+            sizes = np.array([len(x) for x in lists], np.int64)
+            grams = np.concatenate([np.zeros(0, np.uint64), *lists])
+            sent = _packed(np.arange(len(ids), dtype=np.uint64), sizes, np.repeat(np.arange(len(ids)), sizes), _blocks_of(grams, blocks), grams.astype(np.uint32))
+            places = []
+            for block, rows in zip(sent.column("block").to_pylist(), sent.column("rows").to_pylist()):
+                head = np.frombuffer(rows, _HEAD)
+                place = np.zeros(len(head), _PLACE)
+                place["key"], place["rest"] = ids[head["key"].astype(np.int64)].T
+                place["block"], place["grams"] = block, head["grams"]
+                places.append(place.tobytes())
+            yield pa.RecordBatch.from_arrays([sent.column("block"), pa.array(places, pa.binary()), sent.column("grams")], names=["block", "rows", "grams"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, grams = [np.zeros(0, _PLACE)], [np.zeros(0, "<u4")]
+        for batch in batches:
+            places += [np.frombuffer(x.as_py(), _PLACE) for x in batch.column("rows")]
+            grams += [np.frombuffer(x.as_py(), "<u4") for x in batch.column("grams")]
+        place, gram = np.concatenate(places), np.concatenate(grams)
+        _, code, n = np.unique(gram, return_inverse=True, return_counts=True)
+        times = np.minimum(n, 255).astype(np.uint8)[code]
+        at = np.append(0, np.cumsum(place["grams"], dtype=np.int64))
+        part = place["key"].view(np.int64) % parts if len(place) else np.zeros(0, np.int64)
+        order = np.argsort(part, kind="stable")
+        names = np.unique(part)
+        cuts = np.searchsorted(part[order], names)
+        groups = [order[i:j] for i, j in zip(cuts, np.append(cuts[1:], len(order)))]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(names.astype(np.int32)),
+                pa.array([place[g].tobytes() for g in groups], pa.binary()),
+                pa.array([times[ranges(at[g], place["grams"][g].astype(np.int64))].tobytes() for g in groups], pa.binary()),
+            ],
+            names=["part", "rows", "times"],
+        )
+
+    packed = matrix.select("set_id", "grams").mapInArrow(send, _PACKED)
+    return packed.groupBy("block").applyInArrow(count, "part int, rows binary, times binary")
+
+
+def _postings(matrix: DataFrame, percent: int, blocks: int, parts: int) -> DataFrame:
+    """Deciding n-grams of the rows, packed per column block; the lowest bit tells whether one is in the shorter prefix."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"block": pa.array([], pa.int32()), "rows": pa.array([], pa.binary()), "grams": pa.array([], pa.binary())})
+        ids = np.frombuffer(b"".join(left.column("set_id").to_pylist()), "<u8").reshape(-1, 2)
+        lists = [np.frombuffer(x.as_py(), "<u8") for x in left.column("grams")]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        row, grams = np.repeat(np.arange(len(ids)), sizes), np.concatenate(lists)
+        block = _blocks_of(grams, blocks)
+        order = np.argsort(row * blocks + block, kind="stable")
+        # the counts came back per (row, block), each in the order of the n-grams
+        place = np.concatenate([np.frombuffer(x.as_py(), _PLACE) for x in right.column("rows")])
+        sent = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in right.column("times")])
+        at = np.append(0, np.cumsum(place["grams"], dtype=np.int64))
+        name = np.zeros(len(ids), [("key", "<u8"), ("rest", "<u8")])
+        name["key"], name["rest"] = ids.T
+        by_name = np.argsort(name)
+        of = by_name[np.searchsorted(name[by_name], place[["key", "rest"]].astype(name.dtype))]
+        turn = np.lexsort((place["block"], of))
+        times = np.zeros(len(grams), np.uint8)
+        times[order] = sent[ranges(at[turn], place["grams"][turn].astype(np.int64))]
+        need = _ceil_div(percent * sizes, 100)
+        core = _ceil_div(2 * percent * sizes, 100 + percent)
+        alive = np.bincount(row, times > 1, len(ids)) >= need
+        order = np.argsort(row * 256 + times, kind="stable")
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        inside = np.repeat(alive, sizes) & (rank < np.repeat(sizes - need + 1, sizes))
+        flag = (rank < np.repeat(sizes - core + 1, sizes))[inside]
+        chosen, kept = grams[order][inside], row[inside]
+        values = (chosen.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | flag.astype(np.uint32)
+        return pa.Table.from_batches([_packed(ids[:, 0], sizes, kept, _blocks_of(chosen, blocks), values)])
+
+    part = F.pmod("key", F.lit(parts)).cast("int").alias("part")
+    rows = matrix.select(part, "set_id", "grams").groupBy("part")
+    return rows.cogroup(_frequencies(matrix, blocks, parts).groupBy("part")).applyInArrow(work, _PACKED)
 
 
 def _meetings(postings: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between set keys that share a deciding n-gram and whose sizes allow a link, as stars."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, grams = [], []
-        for batch in batches:
-            heads += [np.frombuffer(x.as_py(), [("key", "<u8"), ("size", "<u4"), ("grams", "<u4")]) for x in batch.column("rows")]
-            grams += [np.frombuffer(x.as_py(), "<u4") for x in batch.column("grams")]
-        head, gram = np.concatenate(heads), np.concatenate(grams)
+        head, gram = _unpacked(batches)
         key, size = np.repeat(head["key"], head["grams"]), np.repeat(head["size"], head["grams"]).astype(np.int64)
         core, gram = (gram & np.uint32(1)).astype(bool), gram >> np.uint32(1)
         order = np.lexsort((key, size, gram))
@@ -264,11 +356,11 @@ def _candidate_rows(texts: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for _, grams, bounds in _sets(batch.column("text"), n):
                 ids = _set_ids(grams, bounds)
-                _, firsts = np.unique(ids[:, 0], return_index=True)
+                _, firsts = np.unique(ids, axis=0, return_index=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         _fixed_binary(ids[firsts]),
-                        pa.array(ids[firsts, 0].view(np.int64)),
+                        pa.array(ids[firsts, 0].copy().view(np.int64)),
                         pa.array([grams[bounds[i] : bounds[i + 1]].tobytes() for i in firsts.tolist()], pa.binary()),
                     ],
                     names=["set_id", "key", "grams"],
@@ -328,8 +420,8 @@ def ngram_jaccard_classes(docs: DataFrame, n: int = WORDS, percent: int = PERCEN
 
     `docs` needs doc_id and text; other columns are ignored. Returns a row per row of
     `docs`: doc_id, n_shingles (size of its set), component_id (smallest doc_id
-    reachable by links), n_links (other n-gram sets it links with) and n_copies (rows
-    with the same set). Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text
+    reachable by links), n_links (other n-gram sets it links with), n_copies (rows with
+    the same set), set_id and group_id (both binary; one group_id per component). Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text
     with fewer than n words is one n-gram; a null text or one without words has the
     empty set, links with nothing and is its own component, even beside a row with the
     same doc_id. Rows with equal sets link, so repeated rows share a component. A null
@@ -345,32 +437,72 @@ def ngram_jaccard_classes(docs: DataFrame, n: int = WORDS, percent: int = PERCEN
     named = found.join(classes.select(F.col("set_id").alias("node"), "first_id"), "node")
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     counts = links.groupBy(F.col("b").alias("set_id")).agg(F.sum("links").alias("n_links"))
-    linked = found.join(names, "component").select(F.col("node").alias("set_id"), "component_id")
+    linked = found.join(names, "component").select(F.col("node").alias("set_id"), "component_id", F.col("component").alias("group_id"))
     full = (
         classes.join(linked, "set_id", "left")
         .join(counts, "set_id", "left")
-        .select("set_id", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+        .select(
+            "set_id",
+            F.coalesce("group_id", "set_id").alias("group_id"),
+            F.when(F.col("group_id").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
+            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            "n_copies",
+        )
+    )
+    # sets that own a thousandth of the rows are at most a thousand: they are broadcast, so no task gathers their rows
+    full = durable(full)
+    often = F.col("n_copies") >= F.lit(max(1000, rows.count() // 1000))
+    hot = F.broadcast(full.where(often))
+    filled = rows.where("n_shingles > 0")
+    some = filled.join(hot, "set_id").unionByName(filled.join(hot, "set_id", "left_anti").join(full.where(~often), "set_id"))
+    some = some.select("doc_id", "n_shingles", "component_id", "n_links", "n_copies", "set_id", "group_id")
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    empty = rows.where("n_shingles = 0").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), none.alias("n_links"), one.alias("n_copies"), "set_id", F.lit(None).cast("binary").alias("group_id")
     )
-    some = rows.where("n_shingles > 0").join(full, "set_id").select("doc_id", "n_shingles", "component_id", "n_links", "n_copies")
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return some.unionByName(empty)
 
 
+def distinct_documents(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of `docs`, with all its columns, per component of near duplicates: one with its smallest doc_id.
+
+    Rows without words stay, each of them.
+    """
+    at = docs.columns.index("text")
+
+    def tag(batches):
+        for batch in batches:
+            found = [(_set_ids(grams, bounds), np.diff(bounds)) for _, grams, bounds in _sets(batch.column(at).cast(pa.string()), n)]
+            ids = np.concatenate([np.zeros((0, 2), np.uint64), *(i for i, _ in found)])
+            sizes = np.concatenate([np.zeros(0, np.int64), *(k for _, k in found)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _fixed_binary(ids), pa.array(sizes)], names=[*batch.schema.names, "_set_id", "_size"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_set_id", T.BinaryType()), T.StructField("_size", T.LongType())])
+    tagged = docs.mapInArrow(tag, schema)
+    classes = ngram_jaccard_classes(docs, n, percent)
+    first = classes.where("group_id is not null").where("doc_id <=> component_id").groupBy("group_id")
+    first = first.agg(F.min("set_id").alias("_kept_set"), F.first("component_id").alias("_kept_id")).drop("group_id")
+    joined = tagged.where("_size > 0").join(first, (F.col("_set_id") == F.col("_kept_set")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = joined.dropDuplicates(["_set_id", "doc_id"])
+    return kept.unionByName(tagged.where("_size = 0")).select(*docs.columns)
+
+
 def _links(spark: SparkSession, texts: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Stored links: star edges (a, b) of set ids and, on each, the number of links of b seen in that block pair."""
-    counts = spark.sparkContext.broadcast(_gram_counts(texts, n))
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = components(_meetings(_postings(texts, counts, n, percent, blocks), percent))
+    likely = durable(_likely_rows(_all_columns(texts, n, blocks), percent, blocks))
     first = rows.where("n_shingles > 0").groupBy("set_id", "key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = first.join(groups.withColumnRenamed("node", "key"), "key").select("doc_id").distinct()
+    wanted = first.join(likely, "key").select("doc_id").distinct()
     chosen = texts.alias("t").join(wanted.alias("w"), F.expr("t.doc_id <=> w.doc_id"), "left_semi")
-    matrix = durable(_candidate_rows(chosen, n).join(groups.withColumnRenamed("node", "key"), "key").drop("key").dropDuplicates(["set_id"]))
-    sizes = matrix.groupBy("component").agg(F.count("*").alias("members"), F.sum(F.length("grams")).alias("bytes"))
-    placed = matrix.join(sizes.where("members > 1"), "component")
+    matrix = durable(_candidate_rows(chosen, n).join(likely, "key", "left_semi").dropDuplicates(["set_id"]))
+    groups = components(_meetings(_postings(matrix, percent, blocks, blocks), percent))
+    matrix = matrix.join(groups.withColumnRenamed("node", "key"), "key").drop("key")
+    sizes = durable(matrix.groupBy("component").agg(F.count("*").alias("members")).where("members > 1"))
+    placed = matrix.join(sizes, "component")
     parts = F.ceil(F.col("members") / BLOCK_ROWS)
     # small groups share a batch; a large one is cut into blocks, and each pair of blocks is a batch
     small = placed.where(F.col("members") <= BLOCK_ROWS).select(
-        F.concat_ws("/", F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(_batches(matrix)))).alias("batch"), F.lit(2).alias("side"), "set_id", "grams"
+        F.concat_ws("/", F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(_batches(sizes)))).alias("batch"), F.lit(2).alias("side"), "set_id", "grams"
     )
     large = placed.where(F.col("members") > BLOCK_ROWS).withColumn("block", F.pmod(F.xxhash64("set_id"), parts))
     other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
@@ -383,6 +515,6 @@ def _links(spark: SparkSession, texts: DataFrame, rows: DataFrame, n: int, perce
     return durable(_block_links(small.unionByName(large), percent))
 
 
-def _batches(matrix: DataFrame) -> int:
+def _batches(sizes: DataFrame) -> int:
     """Number of batches for small groups: half a block of rows each, on average."""
-    return max(1, matrix.count() // (BLOCK_ROWS // 2))
+    return max(1, (sizes.agg(F.sum("members")).first()[0] or 0) // (BLOCK_ROWS // 2))
