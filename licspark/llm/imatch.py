@@ -45,12 +45,15 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray
 
 
 def _subset_masks() -> np.ndarray:
-    """For each bucket a bit per subset."""
-    masks = np.zeros(BUCKETS, np.uint64)
-    for k, one_in in enumerate(SUBSETS):
-        drawn = textops.mixed(np.arange(BUCKETS, dtype=np.uint64) + np.uint64((k + 1) << 32)) % np.uint64(one_in)
-        masks |= (drawn == 0).astype(np.uint64) << np.uint64(k)
-    return masks
+    """For each bucket a bit per subset; built once per worker."""
+    cache = textops.worker_cache("subset masks")
+    if SUBSETS not in cache:
+        masks = np.zeros(BUCKETS, np.uint64)
+        for k, one_in in enumerate(SUBSETS):
+            drawn = textops.mixed(np.arange(BUCKETS, dtype=np.uint64) + np.uint64((k + 1) << 32)) % np.uint64(one_in)
+            masks |= (drawn == 0).astype(np.uint64) << np.uint64(k)
+        cache[SUBSETS] = masks
+    return cache[SUBSETS]
 
 
 class Fingerprinter:
@@ -131,7 +134,7 @@ def _in_order(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     quantiles = rows.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    cuts = [-float("inf"), *sorted(set(quantiles)), float("inf")]
+    cuts = [-float("inf"), *(sorted(set(quantiles)) or [0.0]), float("inf")]
     placed = rows.withColumn("place", F.col("doc_id").cast("double"))
     placed = Bucketizer(splits=cuts, inputCol="place", outputCol="part", handleInvalid="keep").transform(placed)
     # null doc_ids come last
