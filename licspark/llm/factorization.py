@@ -18,6 +18,8 @@ from licspark.session import durable
 SAMPLE_ROWS = 20_000
 BUCKETS = 1 << 20
 TERMS, FACTORS = 512, 8
+#: Terms with a smaller chi-squared are taken for chance.
+MIN_CHI = 15.0
 STEPS, BATCH, RATE = 1500, 512, 0.02
 L2, L2_PAIRS = 1e-4, 2e-5
 THRESHOLD = 0.5
@@ -102,6 +104,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max
     expected = F.col("n") * F.lit(toxic / max(n, 1))
     spread = expected * (1 - F.col("n") / max(n, 1)) * F.lit(1 - toxic / max(n, 1))
     best = counts.where("n >= 3").select("term", ((F.col("t") - expected) ** 2 / F.greatest(spread, F.lit(1e-9))).alias("chi"))
+    best = best.where(F.col("chi") >= MIN_CHI)
     terms = np.sort(np.array([r.term for r in best.orderBy(F.desc("chi"), "term").limit(TERMS).collect()], np.int64))
     chosen = F.array(*[F.lit(t) for t in terms.tolist()]).cast("array<long>")
     rows = sample.select("doc_id", "label", F.array_sort(F.array_intersect("terms", chosen)).alias("terms")).collect()
