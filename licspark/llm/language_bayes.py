@@ -16,28 +16,24 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 
 
-class _Letters:
+def _folding() -> np.ndarray:
     """For each code point its lower-case letter, or 32 for anything that is no letter; built once per worker."""
-
-    table: np.ndarray | None = None
-
-    @classmethod
-    def get(cls) -> np.ndarray:
-        if cls.table is None:
-            table = np.full(0x110000, 32, np.uint32)
-            for k in (*range(0xD800), *range(0xE000, 0x32000)):
-                sign = chr(k)
-                if sign.isalpha():
-                    table[k] = ord(sign.lower()[0])
-            cls.table = table
-        return cls.table
+    cache = textops.worker_cache("folding")
+    if "table" not in cache:
+        table = np.full(0x110000, 32, np.uint32)
+        for k in (*range(0xD800), *range(0xE000, 0x32000)):
+            sign = chr(k)
+            if sign.isalpha():
+                table[k] = ord(sign.lower()[0])
+        cache["table"] = table
+    return cache["table"]
 
 
 def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Folded code points of all texts, and each text's bounds."""
     points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    return _Letters.get()[points], lead[offsets]
+    return _folding()[points], lead[offsets]
 
 
 def gram_buckets(folded: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

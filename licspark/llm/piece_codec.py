@@ -108,13 +108,12 @@ class _Codec:
         return out[~firsts], ends - np.concatenate(([0], np.cumsum(firsts)))[ends]
 
 
-_CODECS: dict[str, _Codec] = {}
-
-
 def _codec(path: str) -> _Codec:
-    if path not in _CODECS:
-        _CODECS[path] = _Codec(path)
-    return _CODECS[path]
+    """This worker's codec for a model file."""
+    codecs = textops.worker_cache("piece codecs")
+    if path not in codecs:
+        codecs[path] = _Codec(path)
+    return codecs[path]
 
 
 def _blobs(data: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:

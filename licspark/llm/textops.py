@@ -5,6 +5,8 @@ bytes for each byte of text, so `slices` hands out groups of texts of a few MB;
 a longer text comes alone and whole.
 """
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,21 +32,26 @@ LOWER_CODES = BYTE_CODES.copy()
 LOWER_CODES[65:91] = BYTE_CODES[97:123]
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse, grown on demand."""
+def worker_cache(name: str) -> dict:
+    """A dict that lives as long as the Python worker.
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+    Functions travel to the tasks by value, and the globals of their module with
+    them, so what a module keeps itself is lost with each task.
+    """
+    state = sys.modules.setdefault("licspark worker", types.ModuleType("licspark worker"))
+    return state.__dict__.setdefault(name, {})
 
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 2 * SLICE_BYTES)
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                factors = np.full(size, base, np.uint64)
-                factors[0] = 1
-                setattr(cls, name, np.multiply.accumulate(factors))
-        return cls.up[:n], cls.down
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the hash base and of its inverse."""
+    cache = worker_cache("powers")
+    if len(cache.get("up", ())) < n:
+        size = max(n, SLICE_BYTES + (1 << 16))
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            factors = np.full(size, base, np.uint64)
+            factors[0] = 1
+            cache[name] = np.multiply.accumulate(factors)
+    return cache["up"][:n], cache["down"]
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +96,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
     """64-bit hash of the bytes of each span; `codes` may fold bytes, as LOWER_CODES folds A-Z."""
-    up, down = _Powers.to(len(data) + 1)
+    up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(codes[data] * up[:-1], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts])

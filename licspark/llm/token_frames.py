@@ -32,7 +32,7 @@ FRAME_IDS = 1 << 16
 #: Distinct chunks that a Python worker remembers.
 TABLE_CHUNKS = 600_000
 _SEEK = np.dtype([("offset", "<u8"), ("bytes", "<u8"), ("ids", "<u8"), ("crc", "<u4")])
-_FOOTER = struct.Struct("<QQIQI8s")
+_FOOTER = "<QQIQI8s"
 MAGIC = b"IDFRAME1"
 _INDEX = pa.schema([("doc_id", pa.int64()), ("frame", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -77,7 +77,7 @@ class FrameWriter:
         self._write(index)
         seek = np.array(self.seek, _SEEK).tobytes()
         self._write(seek)
-        self._write(_FOOTER.pack(at, len(index), zlib.crc32(index), len(self.seek), zlib.crc32(seek), MAGIC))
+        self._write(struct.pack(_FOOTER, at, len(index), zlib.crc32(index), len(self.seek), zlib.crc32(seek), MAGIC))
         self.file.close()
 
 
@@ -88,7 +88,7 @@ class FrameReader:
         self.file = file
         size = file.seek(0, 2)
         size = file.tell() if size is None else size
-        at, length, index_crc, frames, seek_crc, magic = _FOOTER.unpack(self._part(size - _FOOTER.size, _FOOTER.size))
+        at, length, index_crc, frames, seek_crc, magic = struct.unpack(_FOOTER, self._part(size - struct.calcsize(_FOOTER), struct.calcsize(_FOOTER)))
         if magic != MAGIC:
             raise ValueError("not a token frame file")
         seek = self._part(at + length, frames * _SEEK.itemsize)
@@ -147,12 +147,10 @@ def chunk_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-_TABLES: dict[str, ChunkTable] = {}
-
-
 def _table(path: str) -> ChunkTable:
     """This worker's chunk table for a tokenizer file."""
-    if path not in _TABLES:
+    tables = textops.worker_cache("chunk tables")
+    if path not in tables:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -164,8 +162,8 @@ def _table(path: str) -> ChunkTable:
             texts = [chunk.decode() for chunk in chunks]
             return [coded.ids for coded in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _TABLES[path] = ChunkTable(encode, np.uint32, TABLE_CHUNKS)
-    return _TABLES[path]
+        tables[path] = ChunkTable(encode, np.uint32, TABLE_CHUNKS)
+    return tables[path]
 
 
 def encoded(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -1,4 +1,10 @@
 import pytest
+from pyspark import cloudpickle
+
+import licspark
+
+# as the driver does, so that what cannot travel by value is seen
+cloudpickle.register_pickle_by_value(licspark)
 
 #: Extra columns whose names clash with those the operators use inside.
 EDGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, set_id string, part int, n_words long, score string"
