@@ -83,7 +83,6 @@ PROTECTED_WORDS = frozenset(
 )
 
 # --- limits -----------------------------------------------------------------
-MAX_TEXT_CHARS = 2_000_000
 MAX_FEATURES = 10_000
 MIN_SAMPLES_KEPT = 10
 HOLDOUT_FACTOR = 0.1

@@ -1,4 +1,4 @@
-"""File type from the first bytes of a text, then from the path."""
+"""File type from the start of a text, then from the path, then from the whole text."""
 
 from pyspark.sql import Column, functions as F
 
@@ -6,8 +6,6 @@ from licspark import fixed_values as fv
 from licspark.functions.names import extension
 from licspark.functions.text import strip
 
-HEAD_CHARS = 4096
-
 # Checked in order; the first match wins.
 HEAD_RULES = [
     (r"^#!.*\bpython[0-9.]*\b", fv.PYTHON),
@@ -35,16 +33,15 @@ CONTENT_RULES = [
 
 def file_type(content: Column, path: Column | None = None) -> Column:
     """Mime type; unknown for null and empty texts."""
-    head = F.substring(content, 1, HEAD_CHARS)
     chain = F.when(F.coalesce(content, F.lit("")) == "", fv.UNKNOWN_TYPE)
     for pattern, mime in HEAD_RULES:
-        chain = chain.when(F.ltrim(head).rlike(pattern), mime)
+        chain = chain.when(F.ltrim(content).rlike(pattern), mime)
     if path is not None:
         ext = F.lower(extension(path))
         for mime, names in EXTENSION_RULES.items():
             chain = chain.when(ext.isin(*names), mime)
     for pattern, mime in CONTENT_RULES:
-        chain = chain.when(head.rlike(pattern), mime)
+        chain = chain.when(content.rlike(pattern), mime)
     return chain.otherwise(fv.UNKNOWN_TYPE)
 
 

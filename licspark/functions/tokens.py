@@ -50,14 +50,9 @@ def drop_stop_words(tokens: Column, stop_words=STOP_WORDS, protected=fv.PROTECTE
 
 
 def word_tokens(text: Column) -> Column:
-    """Lower-cased words of the lemma profile, before lemmas are looked up.
-
-    Texts over the size limit give no tokens.
-    """
+    """Lower-cased words of the lemma profile, before lemmas are looked up; texts of any length."""
     runs = F.regexp_extract_all(text, F.lit(WORD_RUN), F.lit(0))
-    return F.when(
-        text.isNull() | (F.length(text) > fv.MAX_TEXT_CHARS), empty_tokens()
-    ).otherwise(lower_tokens(keep_words(runs)))
+    return F.when(text.isNull(), empty_tokens()).otherwise(lower_tokens(keep_words(runs)))
 
 
 def unstemmed_tokens(text: Column) -> Column:

@@ -107,5 +107,5 @@ def hamming_loss(truth: DataFrame, predicted: DataFrame, key: str = "path") -> D
         .scalar()
     )
     return compared.agg(F.sum(wrong).alias("wrong"), F.count("*").alias("n_docs")).select(
-        (F.col("wrong") / (F.col("n_docs") * n_labels)).alias("hamming_loss")
+        F.try_divide(F.col("wrong"), F.col("n_docs") * n_labels).alias("hamming_loss")
     )

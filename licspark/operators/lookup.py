@@ -1,14 +1,13 @@
 """Lookups of a small table inside rows, for array elements that should not be exploded.
 
 The table becomes one row: an array of small maps, picked by the hash of the
-key. A wide array column is then translated without any shuffle. Only tables of
-checked or given size belong here.
+key. A wide array column is then translated without any shuffle. Only tables
+whose size does not follow the corpus belong here: dictionaries, and vocabularies
+cut to ``max_features`` terms.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from licspark.session import durable
-
 BUCKETS = 4096
 
 
@@ -27,7 +26,7 @@ def lookup_value(table: DataFrame, key: str, value: str) -> Column:
             F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.try_element_at("by_bucket", b)
         ).alias("lookup")
     )
-    return durable(row).scalar()
+    return row.scalar()
 
 
 def found(lookup: Column, key: Column) -> Column:

@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from licspark import fixed_values as fv
 from licspark.functions.names import clean_license
 from licspark.functions.text import strip
-from licspark.session import broadcast_if_small, durable
 
 
 def mapping_rows(lines: DataFrame) -> DataFrame:
@@ -39,7 +38,7 @@ def mapped_sets(sets: DataFrame, mapping: DataFrame, faithful: bool = False) ->
     exploded = sets.select("licenses", F.posexplode("licenses").alias("pos", "raw")).withColumn(
         "old", clean_license(F.col("raw"), faithful)
     )
-    looked_up = exploded.join(broadcast_if_small(mapping), "old", "left").withColumn(
+    looked_up = exploded.join(mapping, "old", "left").withColumn(
         "new", F.when(F.size("new") > 0, F.col("new")).otherwise(F.array("old"))
     )
     drops = F.array_contains("new", fv.NO_MAPPED_LICENSE)
@@ -64,12 +63,12 @@ def map_licenses(files: DataFrame, mapping: DataFrame, faithful: bool = False) -
     """Add ``mapped_licenses`` to files.
 
     Millions of files share few license sets, so only the distinct sets are
-    mapped, and the result is kept. The wide file rows then meet it in one join,
-    a broadcast while the sets are few. ``files`` is read twice: pass a stored
-    table.
+    mapped. The file rows then meet them in one join; from the real size of the
+    sets, adaptive execution makes it a broadcast or splits a set that owns many
+    files. Nothing runs while the plan is built.
     """
-    sets = durable(mapped_sets(files.select("licenses").distinct(), mapping, faithful))
-    mapped = files.drop("mapped_licenses").join(broadcast_if_small(sets), "licenses", "left")
+    sets = mapped_sets(files.select("licenses").distinct(), mapping, faithful)
+    mapped = files.drop("mapped_licenses").join(sets, "licenses", "left")
     return mapped.withColumn(
         "mapped_licenses", F.coalesce("mapped_licenses", F.array().cast("array<string>"))
     )

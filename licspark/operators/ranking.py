@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from licspark.session import broadcast_if_small, durable
+from licspark.session import durable
 
 
 def rank_within(
@@ -13,8 +13,8 @@ def rank_within(
     One range shuffle sorts by (group, order), so a hot group spreads over many
     partitions. ``monotonically_increasing_id`` then numbers the rows inside
     each partition, and the few (group, partition) sizes (at most groups plus
-    partitions) give the offsets and the group sizes. The numbered rows are stored, because ranges are drawn from a sample and
-    both uses must see the same ones. ``order`` should be unique in a group.
+    partitions) give the offsets and the group sizes. The numbered rows are stored, because ranges
+    are drawn from a sample and both uses must see the same ones. ``order`` should be unique in a group.
     """
     staged = durable(
         df.repartitionByRange(*group, *order)
@@ -35,7 +35,7 @@ def rank_within(
     for i, g in enumerate(group):
         same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
     return (
-        staged.join(broadcast_if_small(offsets), same)
+        staged.join(offsets, same)
         .withColumn(name, F.col("_id") + F.col("_shift"))
         .drop("_id", "_slice", "_s", "_shift", *[f"_g{i}" for i in range(len(group))])
     )

@@ -4,11 +4,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from licspark import fixed_values as fv
 from licspark.functions.names import generalize_license, licenses_of_family, route_label
-from licspark.operators.ranking import first_per_group, rank_within
+from licspark.operators.ranking import first_per_group
 from licspark.operators.tags import has_tags
-from licspark.session import broadcast_if_small, durable
 
-PATHS_BROADCAST = 1_000_000
 SAMPLE = ["license", "path", "words", "labels"]
 
 
@@ -30,38 +28,30 @@ def license_samples(
     candidates = files.where(has_tags(F.col("tags"), all_of=all_of, none_of=none_of)).select(
         "path", F.explode(F.array_distinct("mapped_licenses")).alias("license")
     )
-    wanted = candidates.join(broadcast_if_small(licenses), "license", "left_semi")
+    wanted = candidates.join(licenses, "license", "left_semi")
     chosen = first_per_group(wanted, ["license"], ["path"], max_samples)
-    filled = durable(
-        rows_of_paths(
-            files.select(
-                "path",
-                F.col("license_related_words").alias("words"),
-                F.col("mapped_licenses").alias("labels"),
-            ).where((F.size("words") > 0) & (F.size("labels") > 0)),
-            chosen,
-        )
-    )
-    enough = filled.groupBy("license").agg(F.count("*").alias("n")).where(F.col("n") >= min_kept)
-    samples = filled.join(broadcast_if_small(enough.select("license")), "license", "left_semi")
+    usable = files.select(
+        "path",
+        F.col("license_related_words").alias("words"),
+        F.col("mapped_licenses").alias("labels"),
+    ).where((F.size("words") > 0) & (F.size("labels") > 0))
+    # Counted on names alone; the words join once the licenses are known.
+    kept = chosen.join(usable.select("path"), "path", "left_semi")
+    enough = kept.groupBy("license").agg(F.count("*").alias("n")).where(F.col("n") >= min_kept)
+    samples = rows_of_paths(usable, kept.join(enough.select("license"), "license", "left_semi"))
     if distinct:
         samples = samples.dropDuplicates(["path"])
     return samples.select(SAMPLE)
 
 
 def rows_of_paths(wide: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Wide rows of the chosen paths.
-
-    Paths are ranked and capped alone; while they are few they are broadcast, so
-    the word arrays of all other files never move.
-    """
-    return wide.join(broadcast_if_small(durable(chosen), PATHS_BROADCAST), "path")
+    """Wide rows of the chosen paths, which are ranked and capped alone."""
+    return wide.join(chosen, "path")
 
 
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows by ``order`` without gathering them in one task."""
-    keyed = df.withColumn("_all", F.lit(0))
-    return rank_within(keyed, ["_all"], order, "_rank").where(F.col("_rank") <= n).drop("_all", "_rank", "group_size")
+    """The first ``n`` rows by ``order``: salted parts are cut to ``n`` rows before the rest meets."""
+    return first_per_group(df.withColumn("_all", F.lit(0)), ["_all"], order, n).drop("_all")
 
 
 def no_license_samples(
@@ -78,11 +68,23 @@ def no_license_samples(
     )
 
 
+def drawn(samples: DataFrame) -> DataFrame:
+    """Add ``_draw``, a hash of the path that gives rows a random but lasting order."""
+    return samples.withColumn("_draw", F.md5(F.col("path").cast("binary")))
+
+
+def rows_of_samples(samples: DataFrame, chosen: DataFrame) -> DataFrame:
+    return samples.join(chosen.select("license", "path"), ["license", "path"], "left_semi")
+
+
 def routing_samples(single: DataFrame, multi: DataFrame, files: DataFrame) -> DataFrame:
-    """Equal shares of single, multiple and no-license samples with their route label."""
+    """Equal numbers of single, multiple and no-license samples with their route label.
+
+    Samples are drawn by a hash of the path, so every license gives the same share.
+    """
     share = min(single.count(), multi.count()) // 3
     routed = [
-        first_rows(part, ["license", "path"], share).select(
+        rows_of_samples(part, first_rows(drawn(part.select("license", "path")), ["_draw", "license", "path"], share)).select(
             "path", "words", route_label(F.col("labels")).alias("label")
         )
         for part in (single, multi)

@@ -2,39 +2,31 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from licspark.session import broadcast_if_small
-
 
 def linear_scores(features: DataFrame, weights: DataFrame, bias: DataFrame, key: str = "path") -> DataFrame:
-    """Score per (document, label): ``bias + sum(weight * x)``.
+    """Score per (document, label): ``b + sum(weight * x)``, and ``d`` per unit of x where bias has a column ``d``.
 
-    ``features``: key, term, x. ``weights``: term, per_label = array of (label,
-    w). Sums are combined inside each task, so a document sends one row per
-    label through a single shuffle. Terms without weights add 0 to every label.
+    ``features``: key, term, x. ``weights``: term, per_label = array of (label, w).
+    Only pairs that have a weight are summed, combined inside each task, so a
+    document sends at most one row per label through a single shuffle. ``bias``
+    has one row per label of the model. Terms without weights count nothing.
     """
-    zero = bias.agg(
-        F.sort_array(F.collect_list(F.struct("label", F.lit(0.0).alias("w")))).alias("zero")
-    )
-    # Labels a term has no weight for get 0, filled in on the model side.
-    known = lambda label: F.try_element_at(F.map_from_entries("per_label"), label)
-    dense = weights.withColumn("zero", zero.scalar()).select(
-        "term",
-        F.transform(
-            "zero",
-            lambda z: F.struct(z["label"].alias("label"), F.coalesce(known(z["label"]), z["w"]).alias("w")),
-        ).alias("per_label"),
-    )
-    hits = features.join(broadcast_if_small(dense), "term", "left").withColumn(
-        "per_label", F.coalesce("per_label", zero.scalar())
+    default = F.col("d") if "d" in bias.columns else F.lit(0.0)
+    labels = bias.agg(F.sort_array(F.collect_list(F.struct("label", "b", default.cast("double").alias("d"))))).scalar()
+    hits = features.join(weights, "term", "left").select(key, "x", F.inline_outer("per_label"))
+    # every document keeps a row under the null label, so that one without any known term is scored too
+    sums = hits.groupBy(key, "label").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
+    length = features.join(weights.select("term"), "term", "left_semi").groupBy(key).agg(F.sum("x").alias("length"))
+    dots = sums.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "dot")))).alias("dots")
     )
-    dots = (
-        hits.select(key, "x", F.inline("per_label"))
-        .groupBy(key, "label")
-        .agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
-    )
-    # One bias row per label of the model.
-    return dots.join(F.broadcast(bias), "label").select(
-        key, "label", (F.col("b") + F.col("dot")).alias("score")
+    if "d" in bias.columns:
+        dots = dots.join(length, key, "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    else:
+        dots = dots.withColumn("length", F.lit(0))
+    seen = F.coalesce(F.try_element_at("dots", F.col("label")), F.lit(0.0))
+    return dots.select(key, "dots", "length", F.inline(labels)).select(
+        key, "label", (F.col("b") + seen + F.col("d") * F.col("length")).alias("score")
     )
 
 
@@ -57,28 +49,24 @@ def naive_bayes_counts(terms: DataFrame) -> DataFrame:
 
 
 def naive_bayes(counts: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """Smoothed log probabilities of the multinomial model for every (label, term).
+    """Smoothed log probabilities ``w`` of the multinomial model for the seen (label, term) pairs.
 
-    Labels and vocabulary are model-sized, so the full grid is built per term
-    from the collected label totals.
+    Every other pair of a label and a term of the model has the label's default ``d``,
+    so the full grid is never built.
     """
-    totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
-    n_terms = counts.agg(F.count_distinct("term").alias("v")).scalar()
-    label_totals = totals.agg(
-        F.sort_array(F.collect_list(F.struct("label", "total"))).alias("labels")
-    ).scalar()
-    by_term = counts.groupBy("term").agg(
-        F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("seen")
-    )
-    grid = by_term.select("term", "seen", F.inline(label_totals))
-    n = F.coalesce(F.try_element_at("seen", F.col("label")), F.lit(0))
-    return grid.select(
-        "label",
-        "term",
-        F.log((n + F.lit(alpha)) / (F.col("total") + F.lit(alpha) * n_terms)).alias("w"),
+    return counts.join(naive_bayes_defaults(counts, alpha), "label").select(
+        "label", "term", (F.log(F.col("n") + F.lit(alpha)) - F.log("smoothed")).alias("w"), "d"
     )
 
 
+def naive_bayes_defaults(counts: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(label, smoothed, d) per label: smoothed number of words, and log probability of a term not seen with it."""
+    n_terms = counts.agg(F.count_distinct("term").alias("v")).scalar()
+    totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
+    smoothed = F.col("total") + F.lit(alpha) * n_terms
+    return totals.select("label", smoothed.alias("smoothed"), (F.log(F.lit(alpha)) - F.log(smoothed)).alias("d"))
+
+
 def naive_bayes_priors(docs: DataFrame) -> DataFrame:
     """Log share of every label. ``docs``: path, label."""
     per_label = docs.groupBy("label").agg(F.count("*").alias("n"))

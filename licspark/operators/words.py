@@ -8,9 +8,6 @@ from licspark.functions.comments import license_comment_literals
 from licspark.functions.segments import segments
 from licspark.functions.tokens import TOKEN_PROFILES
 from licspark.operators.lookup import found, lookup_value
-from licspark.session import is_small
-
-LEMMA_ROWS = 50_000
 
 
 def add_literals(files: DataFrame, source: str = "segments") -> DataFrame:
@@ -37,35 +34,13 @@ def add_words(files: DataFrame, profile: str = "lemma", source: str = "segments"
     )
 
 
-def lemmatize(files: DataFrame, lemmas: DataFrame, columns: list[str], key: str = "path") -> DataFrame:
-    """Replace the tokens of array columns by their lemmas.
+def lemmatize(files: DataFrame, lemmas: DataFrame, columns: list[str]) -> DataFrame:
+    """Replace the tokens of array columns by their lemmas, inside each row.
 
-    A lemma table of checked size is looked up inside each row. A larger one is
-    joined on the token and the arrays are put together again.
+    The lemma table is the dictionary of a language, whatever the size of the
+    corpus, and travels with the plan. Of several lemmas the first by name counts.
     """
     unique = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
-    if is_small(lemmas, LEMMA_ROWS):
-        table = F.col("_lookup")
-        replaced = {c: F.transform(c, lambda t: F.coalesce(found(table, t), t)) for c in columns}
-        return (
-            files.withColumn("_lookup", lookup_value(unique, "token", "lemma"))
-            .withColumns(replaced)
-            .drop("_lookup")
-        )
-    for column in columns:
-        replaced = (
-            files.select(key, F.posexplode(column).alias("pos", "token"))
-            .join(unique, "token", "left")
-            .groupBy(key)
-            .agg(
-                F.sort_array(F.collect_list(F.struct("pos", F.coalesce("lemma", "token").alias("word"))))[
-                    "word"
-                ].alias("_words")
-            )
-        )
-        files = (
-            files.join(replaced, key, "left")
-            .withColumn(column, F.coalesce("_words", F.col(column)))
-            .drop("_words")
-        )
-    return files
+    table = F.col("_lookup")
+    replaced = {c: F.transform(c, lambda t: F.coalesce(found(table, t), t)) for c in columns}
+    return files.withColumn("_lookup", lookup_value(unique, "token", "lemma")).withColumns(replaced).drop("_lookup")

@@ -20,7 +20,15 @@ class LicenseModel:
 
     kind = "linear"
 
-    def __init__(self, problems: list[Problem | None], license_texts: DataFrame | None = None):
+    def __init__(
+        self,
+        problems: list[Problem | None],
+        license_texts: DataFrame | None = None,
+        profile: str = "lemma",
+        source: str = "segments",
+        lemmas: DataFrame | None = None,
+    ):
+        """``profile``, ``source`` and ``lemmas`` say how the words of the training files were made."""
         if not problems or None in problems:
             raise ModelError("not all problems are trained")
         names = [p.name for p in problems]
@@ -28,6 +36,7 @@ class LicenseModel:
             raise ModelError("two problems have the same name")
         self.problems = {p.name: p for p in problems}
         self.license_texts = license_texts
+        self.profile, self.source, self.lemmas = profile, source, lemmas
 
     @property
     def families(self) -> list[str]:
@@ -38,6 +47,8 @@ class LicenseModel:
             "version": __version__,
             "kind": self.kind,
             "families": self.families,
+            "profile": self.profile,
+            "source": self.source,
             "problems": {name: p.config() for name, p in self.problems.items()},
         }
 
@@ -46,13 +57,17 @@ class LicenseModel:
             problem.save(spark, path)
         if self.license_texts is not None:
             store.save_license_texts(self.license_texts, f"{path}/licenses")
-        store.save_config(spark, {**self.info(), "has_texts": self.license_texts is not None}, f"{path}/config")
+        if self.lemmas is not None:
+            self.lemmas.write.mode("overwrite").parquet(f"{path}/lemmas")
+        stored = {"has_texts": self.license_texts is not None, "has_lemmas": self.lemmas is not None}
+        store.save_config(spark, {**self.info(), **stored}, f"{path}/config")
 
     @classmethod
     def _read(cls, spark, path, config):
         problems = [Problem.load(spark, path, name) for name in config["problems"]]
         texts = spark.read.parquet(f"{path}/licenses") if config.get("has_texts") else None
-        return cls(problems, texts)
+        lemmas = spark.read.parquet(f"{path}/lemmas") if config.get("has_lemmas") else None
+        return cls(problems, texts, config.get("profile", "lemma"), config.get("source", "segments"), lemmas)
 
 
 class FamilyLicenseModel(LicenseModel):

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from licspark import fixed_values as fv
 from licspark.functions.filetypes import file_type
-from licspark.operators.words import add_words
+from licspark.operators.words import add_words, lemmatize
 from licspark.plans.model import FamilyLicenseModel, LicenseModel
 from licspark.sources.files import read_contents
 
@@ -58,15 +58,22 @@ def predict_words(df: DataFrame, model: LicenseModel, words: str = "words") -> D
     return out.select(*df.columns, "route", "licenses")
 
 
-def predict_contents(contents: DataFrame, model: LicenseModel, profile: str = "lemma") -> DataFrame:
-    """(path, content) to (path, route, licenses)."""
+def model_words(contents: DataFrame, model: LicenseModel) -> DataFrame:
+    """(path, content) to (path, words), made as for the training files of the model."""
     typed = contents
     if "file_type" not in contents.columns:
         typed = contents.withColumn("file_type", file_type(F.col("content"), F.col("path")))
-    worded = add_words(typed, profile).select("path", F.col("license_related_words").alias("words"))
-    return predict_words(worded, model).select("path", "route", "licenses")
+    worded = add_words(typed, model.profile, model.source)
+    if model.lemmas is not None and model.profile == "lemma":
+        worded = lemmatize(worded, model.lemmas, ["license_related_words"])
+    return worded.select("path", F.col("license_related_words").alias("words"))
+
+
+def predict_contents(contents: DataFrame, model: LicenseModel) -> DataFrame:
+    """(path, content) to (path, route, licenses)."""
+    return predict_words(model_words(contents, model), model).select("path", "route", "licenses")
 
 
-def scan_files(spark, path: str, model: LicenseModel, pattern: str | None = None) -> DataFrame:
-    """Predict the licenses of all files under a folder."""
-    return predict_contents(read_contents(spark, path, pattern), model)
+def scan_files(spark, path: str, model: LicenseModel, pattern: str | None = None, base: str | None = None) -> DataFrame:
+    """Predict the licenses of all files under a folder; paths are relative to ``base`` (default: the folder)."""
+    return predict_contents(read_contents(spark, path, pattern, base), model)

@@ -43,9 +43,16 @@ def train(
     max_samples: int = 10_000,
     families=(),
     exclude_holdout: bool = True,
+    profile: str = "lemma",
+    source: str = "segments",
+    lemmas: DataFrame | None = None,
     **fit_options,
 ) -> LicenseModel:
-    """Fit all problems. ``licenses`` are the training licenses, ``families`` the special cases."""
+    """Fit all problems. ``licenses`` are the training licenses, ``families`` the special cases.
+
+    ``profile``, ``source`` and ``lemmas`` are those given to the update job that made
+    the words of ``files``; the model keeps them and makes the words of unknown files alike.
+    """
     sets = sample_sets(files, licenses, max_samples, families, exclude_holdout)
     problems = [TRAINERS.get(name, fit_chain)(samples, name, **fit_options) for name, samples in sets.items()]
     texts = None
@@ -54,4 +61,4 @@ def train(
         labels = files.sparkSession.createDataFrame([(n,) for n in names], "license string")
         texts = known_license_texts(labels, license_texts)
     kind = FamilyLicenseModel if families else LicenseModel
-    return kind(problems, texts)
+    return kind(problems, texts, profile, source, lemmas)

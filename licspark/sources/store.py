@@ -34,9 +34,13 @@ def save_predictions(predictions: DataFrame, path: str) -> None:
 
 
 def license_texts(license_files: DataFrame) -> DataFrame:
-    """(license, text) from license files with exactly one license and a text."""
-    single = license_files.where((F.size("licenses") == 1) & (F.coalesce("text", F.lit("")) != ""))
-    return single.select(F.get("licenses", F.lit(0)).alias("license"), "text", "path").groupBy("license").agg(
+    """(license, text) from license files with a text and exactly one license.
+
+    The license is the mapped one, as model classes are, where files are mapped.
+    """
+    names = "mapped_licenses" if "mapped_licenses" in license_files.columns else "licenses"
+    single = license_files.where((F.size(names) == 1) & (F.coalesce("text", F.lit("")) != ""))
+    return single.select(F.get(names, F.lit(0)).alias("license"), "text", "path").groupBy("license").agg(
         F.min_by("text", "path").alias("text")
     )
 

@@ -8,17 +8,23 @@ from licspark.plans.model import LicenseModel
 from licspark.plans.predict import predict_contents
 
 
-def _until_done(writer, checkpoint: str, **sink) -> StreamingQuery:
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(**sink)
+#: Stop when all data that is there has been read; pass ``{"processingTime": "1 minute"}`` to run on.
+UNTIL_DONE = {"availableNow": True}
 
 
-def stream_predictions(contents: DataFrame, model: LicenseModel, path: str, checkpoint: str) -> StreamingQuery:
+def _started(writer, checkpoint: str, trigger: dict | None, **sink) -> StreamingQuery:
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or UNTIL_DONE)).start(**sink)
+
+
+def stream_predictions(
+    contents: DataFrame, model: LicenseModel, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Score arriving (path, content) rows and append predictions.
 
     Segments, words and scoring work inside each row, so no state is kept.
     """
     scored = predict_contents(contents, model)
-    return _until_done(scored.writeStream.outputMode("append").format("parquet"), checkpoint, path=path)
+    return _started(scored.writeStream.outputMode("append").format("parquet"), checkpoint, trigger, path=path)
 
 
 def _append_changes(path: str):
@@ -30,21 +36,23 @@ def _append_changes(path: str):
     return write
 
 
-def stream_findings(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_findings(raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Convert arriving findings; the state per (kind, path) is its license set.
 
     Every batch appends only the files it changed.
     """
-    return _until_done(
-        convert_findings(raw).writeStream.outputMode("update").foreachBatch(_append_changes(path)), checkpoint
+    return _started(
+        convert_findings(raw).writeStream.outputMode("update").foreachBatch(_append_changes(path)), checkpoint, trigger
     )
 
 
-def stream_counts(rows: DataFrame, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
+def stream_counts(
+    rows: DataFrame, keys: list[str], path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Running counts per key; every batch appends only the counts it changed."""
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    return _until_done(
-        counts.writeStream.outputMode("update").foreachBatch(_append_changes(path)), checkpoint
+    return _started(
+        counts.writeStream.outputMode("update").foreachBatch(_append_changes(path)), checkpoint, trigger
     )
 
 

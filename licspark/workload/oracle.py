@@ -442,7 +442,7 @@ sql(
         "spdx_files",
         """SELECT path, file_type, CASE WHEN doc_id % 9 = 0
              THEN concat('// SPDX-License-Identifier: MIT', chr(10), content) ELSE content END AS content
-        FROM code_files WHERE file_type IN ('text/x-c', 'text/x-c++')""",
+        FROM code_files""",
     ),
     *kind_ctes("spdx_files"),
 )
@@ -481,7 +481,7 @@ sql(
         FROM raw_nodes""",
     ),
 )
-_head = "ltrim(substr(content, 1, 4096))"
+_head = "ltrim(content)"
 sql(
     "file_type_rules",
     f"""SELECT path, CASE WHEN content = '' THEN 'unknown filetype'
@@ -541,7 +541,8 @@ sql(
 sql(
     "process_words_comment",
     f"""SELECT path, CAST(len(license_words) AS INT) AS n_words, CAST(coalesce(len(other_words), -1) AS INT) AS n_other,
-      {joined('license_words[1:20]', ' ')} AS head
+      {joined('license_words', ' ')} AS license_words,
+      {joined('other_words', ' ')} AS other_words
     FROM (SELECT path, CASE WHEN len({word_list('related')}) > 0 THEN {word_list('related')}
                             ELSE {word_list('content')} END AS license_words,
             CASE WHEN n_literals > 0 THEN {word_list('unrelated')} END AS other_words
@@ -683,7 +684,7 @@ sql(
 TRAINING = (
     "training",
     f"""SELECT *, len(labels) = 1 AS is_single, doc_id % 7 = 0 AS held,
-      CASE WHEN doc_id % 4 = 0 THEN least(len(all_words), 50) END AS n_other,
+      CASE WHEN doc_id % 4 = 0 THEN len(all_words) END AS n_other,
       CASE WHEN doc_id % 10 <> 3 THEN len(all_words) ELSE 0 END AS n_words
     FROM (SELECT doc_id, path, list_sort(licenses) AS labels, {word_list('text')} AS all_words FROM doc_licenses)""",
 )
@@ -725,8 +726,8 @@ sql("sample_no_license", _none.format(200), *SAMPLES)
 sql(
     "sample_routing",
     f"""SELECT path, CAST(n_words AS INT) AS n_words, label FROM (
-      SELECT path, n_words, 'single' AS label, row_number() OVER (ORDER BY license, path) AS place FROM sp
-      UNION ALL SELECT path, n_words, 'multi', row_number() OVER (ORDER BY license, path) FROM mp
+      SELECT path, n_words, 'single' AS label, row_number() OVER (ORDER BY md5(path), license, path) AS place FROM sp
+      UNION ALL SELECT path, n_words, 'multi', row_number() OVER (ORDER BY md5(path), license, path) FROM mp
       UNION ALL SELECT path, n_other, 'no license', row_number() OVER (ORDER BY path) FROM training WHERE n_other > 0 AND NOT held)
     WHERE place <= least((SELECT count(*) FROM sp), (SELECT count(*) FROM mp)) // 3""",
     *SAMPLES,
@@ -766,7 +767,13 @@ NB = (
         FROM nb_totals t CROSS JOIN nb_terms v LEFT JOIN nb_counts c ON c.label = t.label AND c.term = v.term""",
     ),
 )
-sql("naive_bayes_weights", "SELECT label, term, round(w, 6) AS w FROM nb_weights", *NB)
+sql(
+    "naive_bayes_weights",
+    """SELECT c.label, c.term, round(ln((c.n + 1.0::DOUBLE) / (t.total::DOUBLE + (SELECT count(*) FROM nb_terms))), 6) AS w,
+      round(ln(1.0::DOUBLE / (t.total::DOUBLE + (SELECT count(*) FROM nb_terms))), 6) AS d
+    FROM nb_counts c JOIN nb_totals t USING (label)""",
+    *NB[:4],
+)
 sql(
     "naive_bayes_predict",
     """SELECT path, arg_min(label, {'s': -score, 'l': label}) AS label FROM (
@@ -779,22 +786,17 @@ sql(
 sql(
     "linear_score",
     """SELECT x.path, b.label, round(any_value(b.b) + sum(coalesce(w.w, 0) * x.weight), 6) AS score
-    FROM uni x CROSS JOIN (SELECT lang AS label, -count(*) / 100000.0::DOUBLE AS b FROM documents GROUP BY lang) b
-    LEFT JOIN (SELECT label, term, n / sum(n) OVER (PARTITION BY term) AS w FROM nb_counts) w
+    FROM tfidf x CROSS JOIN (SELECT lang AS label, -count(*) / 100000.0::DOUBLE AS b FROM documents GROUP BY lang) b
+    LEFT JOIN (SELECT label, term, n / sum(n) OVER (PARTITION BY term) AS w FROM (
+        SELECT d.lang AS label, t.term, sum(t.tf) AS n FROM doc_terms t JOIN vocab USING (term)
+        JOIN (SELECT DISTINCT path, lang FROM doc_tokens) d USING (path) GROUP BY ALL)) w
       ON w.label = b.label AND w.term = x.term
     GROUP BY x.path, b.label""",
-    *NB[:2],
-    ("uni_terms", "SELECT path, token AS term, count(*) AS tf FROM doc_tokens GROUP BY path, token"),
-    (
-        "uni_vocab",
-        """SELECT term, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1.0 AS idf
-        FROM uni_terms GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 1000""",
-    ),
-    (
-        "uni",
-        """SELECT path, term, w / sqrt(sum(w * w) OVER (PARTITION BY path)) AS weight
-        FROM (SELECT t.path, t.term, (ln(t.tf) + 1.0::DOUBLE) * v.idf AS w FROM uni_terms t JOIN uni_vocab v USING (term))""",
-    ),
+    DOC_TOKENS,
+    DOC_TERMS,
+    STATS,
+    VOCAB,
+    WEIGHTS,
 )
 sql(
     "route_predict",
@@ -881,6 +883,16 @@ TEXTS = (
     """SELECT licenses[1] AS license, arg_min(text, path) AS text FROM files
     WHERE kind = 'License' AND len(licenses) = 1 AND text <> '' GROUP BY licenses[1]""",
 )
+MAPPED_TEXTS = (
+    "mapped_texts",
+    """SELECT mapped[1] AS license, arg_min(text, path) AS text FROM (
+      SELECT path, any_value(text) AS text,
+        list_sort(list_distinct(flatten(list(CASE WHEN list_contains(new, 'NO_MAPPED_LICENSE') THEN [] ELSE new END)))) AS mapped
+      FROM (SELECT c.path, c.text, CASE WHEN len(m.new) > 0 THEN m.new ELSE [c.license] END AS new
+            FROM (SELECT path, text, unnest(licenses) AS license FROM files WHERE kind = 'License') c
+            LEFT JOIN mapping m ON m.old = c.license) GROUP BY path)
+    WHERE len(mapped) = 1 AND text <> '' GROUP BY mapped[1]""",
+)
 sql(
     "license_text_lookup",
     f"""SELECT n.license, coalesce(t.text, 'License by licspark') AS text
@@ -893,10 +905,10 @@ sql(
 )
 sql(
     "known_license_texts",
-    """SELECT license, text FROM texts
+    """SELECT license, text FROM mapped_texts
     WHERE license IN (SELECT unnest(mapped_licenses) FROM conclusions)""",
     *CONCLUSIONS,
-    TEXTS,
+    MAPPED_TEXTS,
 )
 sql(
     "predictions_json",

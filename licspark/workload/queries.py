@@ -146,7 +146,7 @@ def mapping_template(spark, sf_dir):
 
 
 def _mapped_files(spark, sf_dir, faithful=False):
-    files = durable(_files(spark, sf_dir).where(F.col("kind") == "Conclusion"))
+    files = _files(spark, sf_dir).where(F.col("kind") == "Conclusion")
     mapped = mapping.map_licenses(files, _mapping(spark, sf_dir), faithful)
     # Findings carry no text here, so the type comes from the path alone.
     return mapped.withColumn("file_type", filetypes.file_type(F.lit("x"), F.col("path"))).withColumn(
@@ -397,7 +397,7 @@ def record_high_comments(spark, sf_dir):
 def license_comment(spark, sf_dir):
     """Best comment with an SPDX line planted in every ninth file."""
     spdx = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("// SPDX-License-Identifier: MIT\n"), "content"))
-    files = inputs.code_files(spark, sf_dir).where("file_type IN ('text/x-c', 'text/x-c++')")
+    files = inputs.code_files(spark, sf_dir)
     files = files.withColumn("content", F.coalesce(spdx, "content"))
     comments = cm.comments_by_kind(F.col("content"), F.col("file_type"))
     return files.select("path", cm.license_comment(comments).alias("comment"))
@@ -440,7 +440,8 @@ def process_words_comment(spark, sf_dir):
         "path",
         F.size("license_related_words").alias("n_words"),
         F.coalesce(F.size("no_license_related_words"), F.lit(-1)).alias("n_other"),
-        joined(F.slice("license_related_words", 1, 20), " ").alias("head"),
+        joined("license_related_words", " ").alias("license_words"),
+        joined("no_license_related_words", " ").alias("other_words"),
     )
 
 
@@ -543,7 +544,7 @@ def _training_files(spark, sf_dir):
         tokens.word_tokens(F.col("text")).alias("license_related_words"),
     )
     # Every fourth document stands for a file with other words but no license text.
-    other = F.when(F.col("doc_id") % 4 == 0, F.slice("license_related_words", 1, 50))
+    other = F.when(F.col("doc_id") % 4 == 0, F.col("license_related_words"))
     docs = docs.withColumn("no_license_related_words", other).withColumn(
         "license_related_words",
         F.when(F.col("doc_id") % 10 != 3, F.col("license_related_words")).otherwise(tokens.empty_tokens()),
@@ -656,19 +657,18 @@ def _language_terms(spark, sf_dir):
 
 @query
 def naive_bayes_weights(spark, sf_dir):
-    counts = durable(scoring.naive_bayes_counts(_language_terms(spark, sf_dir)))
-    weights = scoring.naive_bayes(counts)
-    return weights.select("label", "term", rounded("w").alias("w"))
+    weights = scoring.naive_bayes(scoring.naive_bayes_counts(_language_terms(spark, sf_dir)))
+    return weights.select("label", "term", rounded("w").alias("w"), rounded("d").alias("d"))
 
 
 @query
 def naive_bayes_predict(spark, sf_dir):
-    terms = durable(_language_terms(spark, sf_dir))
-    weights = scoring.naive_bayes(durable(scoring.naive_bayes_counts(terms)))
+    terms = _language_terms(spark, sf_dir)
+    counts = durable(scoring.naive_bayes_counts(terms))
+    weights = scoring.naive_bayes(counts).select("label", "term", (F.col("w") - F.col("d")).alias("w"))
     bias = scoring.naive_bayes_priors(_documents(spark, sf_dir).select("path", F.col("lang").alias("label")))
-    scores = scoring.linear_scores(
-        terms.select("path", "term", F.col("tf").alias("x")), durable(scoring.per_term(weights)), bias
-    )
+    bias = bias.join(scoring.naive_bayes_defaults(counts).select("label", "d"), "label")
+    scores = scoring.linear_scores(terms.select("path", "term", F.col("tf").alias("x")), scoring.per_term(weights), bias)
     return scoring.best_label(scores)
 
 
@@ -676,13 +676,14 @@ def naive_bayes_predict(spark, sf_dir):
 def linear_score(spark, sf_dir):
     """A linear model whose weights are term shares per language, on TF-IDF features."""
     docs = _documents(spark, sf_dir)
-    vocab = features.vocabulary(docs, max_features=1000, n_max=1)
-    x = features.tfidf(docs, vocab, n_max=1).withColumnRenamed("weight", "x")
-    counts = durable(scoring.naive_bayes_counts(_language_terms(spark, sf_dir)))
+    vocab = durable(features.vocabulary(docs))
+    x = features.tfidf(docs, vocab).withColumnRenamed("weight", "x")
+    grams = docs.select("path", F.col("lang").alias("label"), F.inline(ngrams.term_counts(ngrams.word_ngrams(F.col("words"), 3))))
+    counts = scoring.naive_bayes_counts(grams.join(vocab.select("term"), "term", "left_semi"))
     totals = counts.groupBy("term").agg(F.sum("n").alias("all"))
     weights = counts.join(totals, "term").select("term", "label", (F.col("n") / F.col("all")).alias("w"))
     bias = docs.groupBy(F.col("lang").alias("label")).agg((-F.count("*") / F.lit(100000.0)).alias("b"))
-    scores = scoring.linear_scores(x, durable(scoring.per_term(weights)), bias)
+    scores = scoring.linear_scores(x, scoring.per_term(weights), bias)
     return scores.select("path", "label", rounded("score").alias("score"))
 
 
@@ -801,7 +802,7 @@ def license_text_lookup(spark, sf_dir):
 @query
 def known_license_texts(spark, sf_dir):
     files = _files(spark, sf_dir)
-    texts = store.license_texts(files.where(F.col("kind") == "License"))
+    texts = store.license_texts(mapping.map_licenses(files.where(F.col("kind") == "License"), _mapping(spark, sf_dir)))
     labels = _mapped_files(spark, sf_dir).select(F.explode("mapped_licenses").alias("license"))
     return store.known_license_texts(labels, texts)
 

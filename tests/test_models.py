@@ -198,7 +198,9 @@ def test_naive_bayes_against_spark_ml(spark):
     counts = {"A": {"x": 3, "y": 1}, "B": {"y": 4, "z": 2}}
     rows = [(label, label + "1", t, n) for label, terms in counts.items() for t, n in terms.items()]
     df = spark.createDataFrame(rows, "label string, path string, term string, tf long")
-    got = {(r.label, r.term): r.w for r in scoring.naive_bayes(scoring.naive_bayes_counts(df)).collect()}
+    seen = scoring.naive_bayes_counts(df)
+    got = {(r.label, t): r.d for r in scoring.naive_bayes_defaults(seen).collect() for t in "xyz"}
+    got |= {(r.label, r.term): r.w for r in scoring.naive_bayes(seen).collect()}
     data = spark.createDataFrame(
         [(float(i), Vectors.dense([counts[c].get(t, 0) for t in "xyz"])) for i, c in enumerate("AB")], ["label", "features"]
     )

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from licspark import fixed_values as fv
-from licspark.operators import analysis, convert, holdout, mapping, ranking, sampling, tags
+from licspark.operators import analysis, convert, evaluation, holdout, mapping, ranking, sampling, tags
+from licspark.plans import update
 from licspark.schemas import CSV_DUMP, RAW_FINDINGS
 from licspark.sources import files as file_source
 from licspark.sources import findings as finding_source
@@ -282,9 +283,11 @@ def test_files_on_disk(spark, tmp_path):
     (tmp_path / "in" / "sub" / "b.py").write_bytes(b"# hi")
     (tmp_path / "in2").mkdir()
     (tmp_path / "in2" / "c.c").write_bytes(b"no")
-    got = {r.path.rsplit("/", 1)[1]: r.content for r in file_source.read_contents(spark, str(tmp_path / "in")).collect()}
-    assert got == {"a.c": "// caf\xe9 \x85 x", "b.py": "# hi"}
-    assert file_source.read_contents(spark, str(tmp_path / "in" / "a.c")).count() == 1
+    got = {r.path: r.content for r in file_source.read_contents(spark, str(tmp_path / "in")).collect()}
+    assert got == {"a.c": "// caf\xe9 \x85 x", "sub/b.py": "# hi"}
+    assert [r.path for r in file_source.read_contents(spark, str(tmp_path / "in" / "a.c")).collect()] == ["a.c"]
+    below = file_source.read_contents(spark, str(tmp_path / "in" / "sub"), base=str(tmp_path))
+    assert [r.path for r in below.collect()] == ["in/sub/b.py"]
     assert file_source.read_files(spark, str(tmp_path / "in"), "*.py").count() == 1
     files = spark.createDataFrame([("a",), ("b",)], "path string")
     contents = spark.createDataFrame([("a", "x")], "path string, content string")
@@ -292,6 +295,59 @@ def test_files_on_disk(spark, tmp_path):
     assert [r.path for r in file_source.missing_content(files, contents).collect()] == ["b"]
 
 
+def test_findings_meet_their_files(spark, tmp_path):
+    """From findings with relative paths and files on disk to types, words and tags."""
+    (tmp_path / "corpus" / "lib").mkdir(parents=True)
+    header = "/*\n" + " * Licensed under the MIT License, copyright of the authors.\n" * 200 + " */\n"
+    (tmp_path / "corpus" / "lib" / "long header").write_text(header + "#include <stdio.h>\nint main() { return 0; }\n")
+    (tmp_path / "corpus" / "b.py").write_text("# Licensed under the Old Name License\nprint('other words')\n")
+    files = spark.createDataFrame(
+        [("Conclusion", "lib/long header", ["MIT"]), ("Conclusion", "b.py", ["Old Name"]), ("Conclusion", "gone.c", ["MIT"])],
+        "kind string, path string, licenses array<string>",
+    )
+    names = spark.createDataFrame([("Old Name", ["New-1.0"])], "old string, new array<string>")
+    contents = file_source.read_contents(spark, str(tmp_path / "corpus"))
+    got = {r.path: r for r in update.prepare_files(files, contents, names).collect()}
+    assert {p: r.file_type for p, r in got.items()} == {"lib/long header": fv.C, "b.py": fv.PYTHON, "gone.c": fv.UNKNOWN_TYPE}
+    assert got["lib/long header"].license_related_words[:5] == "licensed under the mit license".split()
+    assert "new" not in got["b.py"].license_related_words and got["b.py"].mapped_licenses == ["New-1.0"]
+    assert fv.LRW in got["b.py"].tags and fv.LRW not in got["gone.c"].tags
+    assert [r.path for r in file_source.missing_content(files, contents).collect()] == ["gone.c"]
+
+
+def test_texts_of_renamed_licenses(spark):
+    files = spark.createDataFrame(
+        [("a", ["Old Name"], "the text")], "path string, licenses array<string>, text string"
+    )
+    names = spark.createDataFrame([("Old Name", ["New-1.0"])], "old string, new array<string>")
+    texts = store.license_texts(mapping.map_licenses(files, names))
+    assert [(r.license, r.text) for r in texts.collect()] == [("New-1.0", "the text")]
+
+
+@pytest.mark.parametrize("name", ["license_map", "analysis_all", "sample_multi", "cap_per_license"])
+def test_plans_are_lazy(spark, sf_dir, name, monkeypatch):
+    """Building a query runs no job but the short ones that read the schema of its tables."""
+    from licspark.workload import queries
+
+    tracker = spark.sparkContext.statusTracker()
+    if name == "sample_multi":
+        stored = queries._training_files(spark, sf_dir)
+        monkeypatch.setattr(queries, "_training_files", lambda *_: stored)
+    queries.inputs.table(spark, sf_dir, "lineitem")
+    spark.sparkContext.setJobGroup("lazy", name)
+    try:
+        queries.QUERIES[name](spark, sf_dir)
+        jobs = tracker.getJobIdsForGroup("lazy")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 8
+
+
+def test_hamming_loss_without_labels(spark):
+    none = spark.createDataFrame([("a", [])], "path string, labels array<string>")
+    assert evaluation.hamming_loss(none, none).first()[0] is None
+
+
 def test_license_texts(spark):
     files = spark.createDataFrame(
         [("a", ["MIT"], "mit text"), ("b", ["MIT"], "later"), ("c", ["A", "B"], "two"), ("d", ["ISC"], None)],
