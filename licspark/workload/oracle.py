@@ -783,6 +783,36 @@ sql(
         ON p.label = s.label GROUP BY s.path, s.label) GROUP BY path""",
     *NB,
 )
+sql(
+    "held_out_report",
+    """SELECT label, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision,
+      round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
+      round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1, CAST(tp + fn AS BIGINT) AS support
+    FROM (SELECT l.label, count(*) FILTER (t.lang = l.label AND g.label = l.label) AS tp,
+            count(*) FILTER (t.lang <> l.label AND g.label = l.label) AS fp,
+            count(*) FILTER (t.lang = l.label AND g.label IS DISTINCT FROM l.label) AS fn
+          FROM truth t LEFT JOIN guesses g USING (path)
+          CROSS JOIN (SELECT lang AS label FROM truth UNION SELECT label FROM guesses) l GROUP BY l.label)""",
+    DOC_TOKENS,
+    ("truth", f"SELECT {_path} AS path, lang FROM documents WHERE doc_id % 10 = 0"),
+    ("seen", "SELECT lang AS label, token AS term, count(*) AS n FROM doc_tokens WHERE doc_id % 10 <> 0 GROUP BY ALL"),
+    (
+        "fitted",
+        """SELECT t.label, v.term, ln((coalesce(c.n, 0) + 1.0::DOUBLE) / (t.total::DOUBLE + (SELECT count(DISTINCT term) FROM seen))) AS w
+        FROM (SELECT label, sum(n) AS total FROM seen GROUP BY label) t CROSS JOIN (SELECT DISTINCT term FROM seen) v
+        LEFT JOIN seen c ON c.label = t.label AND c.term = v.term""",
+    ),
+    (
+        "guesses",
+        """SELECT path, arg_min(label, {'s': -score, 'l': label}) AS label FROM (
+          SELECT d.path, p.label, p.b + coalesce(sum(f.w), 0) AS score
+          FROM (SELECT DISTINCT path FROM doc_tokens WHERE doc_id % 10 = 0) d
+          CROSS JOIN (SELECT lang AS label, ln(count(*) / (SELECT count(*) FROM documents WHERE doc_id % 10 <> 0)) AS b
+                      FROM documents WHERE doc_id % 10 <> 0 GROUP BY lang) p
+          LEFT JOIN doc_tokens t ON t.path = d.path LEFT JOIN fitted f ON f.term = t.token AND f.label = p.label
+          GROUP BY d.path, p.label, p.b) GROUP BY path""",
+    ),
+)
 sql(
     "linear_score",
     """SELECT x.path, b.label, round(any_value(b.b) + sum(coalesce(w.w, 0) * x.weight), 6) AS score

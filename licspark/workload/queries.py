@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from licspark import fixed_values as fv
 from licspark.functions import comments as cm
 from licspark.functions import filetypes, names, ngrams, segments, text, tokens, words
+from licspark.functions.porter import stem_tokens
 from licspark.operators import (
     analysis,
     convert,
@@ -466,9 +467,10 @@ def lemma_tokens(spark, sf_dir):
 
 @query
 def stem_counts(spark, sf_dir):
+    """Tokens are counted first, so that each distinct one is stemmed once."""
     files = inputs.text_files(spark, sf_dir)
-    stems = files.select(F.explode(tokens.stemmed_tokens(F.col("content"))).alias("stem"))
-    return stems.groupBy("stem").agg(F.count("*").alias("n"))
+    counts = files.select(F.explode(tokens.unstemmed_tokens(F.col("content"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return counts.groupBy(F.get(stem_tokens(F.array("token")), F.lit(0)).alias("stem")).agg(F.sum("n").alias("n"))
 
 
 @query
@@ -672,6 +674,27 @@ def naive_bayes_predict(spark, sf_dir):
     return scoring.best_label(scores)
 
 
+@query
+def held_out_report(spark, sf_dir):
+    """Fit naive Bayes without every tenth document, predict these, report per language."""
+    docs = inputs.text_files(spark, sf_dir).select("path", "doc_id", "lang", tokens.word_tokens(F.col("content")).alias("words"))
+    held = F.col("doc_id") % 10 == 0
+    fit = docs.where(~held)
+    terms = lambda part: part.select("path", F.col("lang").alias("label"), F.inline(ngrams.term_counts(F.col("words"))))
+    counts = durable(scoring.naive_bayes_counts(terms(fit)))
+    weights = scoring.naive_bayes(counts).select("label", "term", (F.col("w") - F.col("d")).alias("w"))
+    bias = scoring.naive_bayes_priors(fit.select("path", F.col("lang").alias("label")))
+    bias = bias.join(scoring.naive_bayes_defaults(counts).select("label", "d"), "label")
+    unseen = docs.where(held)
+    scores = scoring.linear_scores(
+        terms(unseen).select("path", "term", F.col("tf").alias("x")), scoring.per_term(weights), bias
+    )
+    truth = unseen.select("path", F.array("lang").alias("labels"))
+    guess = scoring.best_label(scores).select("path", F.array("label").alias("labels"))
+    report = evaluation.class_report(truth, guess)
+    return report.select("label", *[rounded(c).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 @query
 def linear_score(spark, sf_dir):
     """A linear model whose weights are term shares per language, on TF-IDF features."""
@@ -726,25 +749,25 @@ def svm_language(spark, sf_dir):
     """One-versus-rest SVM on the document language, scored on the same documents."""
     docs = _documents(spark, sf_dir).where(F.size("words") > 0)
     samples = docs.select("path", "words", F.col("lang").alias("label"))
-    problem = models.fit_single(samples, "language", max_iter=10)
+    problem = models.fit_single(samples, "language")
     scored = problem.predict(samples, "words", "guess")
     return scored.select("path", "label", F.get("guess", F.lit(0)).alias("guess"))
 
 
 @query
 def chain_labels(spark, sf_dir):
-    """Classifier chain on all concluded licenses of the labelled documents."""
+    """Classifier chain on all concluded licenses, fitted on the labelled documents, applied to all."""
     labelled = inputs.table(spark, sf_dir, "labels").select("doc_id")
-    docs = inputs.doc_licenses(spark, sf_dir).join(labelled, "doc_id", "left_semi")
-    samples = docs.select("path", tokens.word_tokens(F.col("text")).alias("words"), F.col("licenses").alias("labels"))
-    problem = models.fit_chain(samples, "labels", max_iter=5)
-    scored = problem.predict(samples, "words", "guess")
+    docs = inputs.doc_licenses(spark, sf_dir)
+    worded = docs.select("doc_id", "path", tokens.word_tokens(F.col("text")).alias("words"), F.col("licenses").alias("labels"))
+    problem = models.fit_chain(worded.join(labelled, "doc_id", "left_semi").drop("doc_id"), "labels")
+    scored = problem.predict(worded, "words", "guess")
     return scored.select("path", joined(F.sort_array("labels")).alias("labels"), joined("guess").alias("guess"))
 
 
 def _model(spark, sf_dir):
     files = _training_files(spark, sf_dir)
-    return train.train(files, _training_licenses(files), max_samples=SAMPLE_CAP, families=("HPND",), max_iter=5)
+    return train.train(files, _training_licenses(files), max_samples=SAMPLE_CAP, families=("HPND",))
 
 
 @query

@@ -54,6 +54,11 @@ def test_fits_are_useful(spark, sf_dir):
     assert (chain.labels == chain.guess).mean() > 0.5
 
 
+def test_held_out_quality(spark, sf_dir):
+    report = entry.queries()["held_out_report"](spark, sf_dir).toPandas()
+    assert (report.f1 * report.support).sum() / report.support.sum() > 0.8
+
+
 def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
