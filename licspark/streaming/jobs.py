@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from licspark.operators.convert import convert_findings
 from licspark.plans.model import LicenseModel
 from licspark.plans.predict import predict_contents
+from licspark.sources.findings_table import merge_into
 
 
 #: Stop when all data that is there has been read; pass ``{"processingTime": "1 minute"}`` to run on.
@@ -37,13 +37,13 @@ def _append_changes(path: str):
 
 
 def stream_findings(raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Convert arriving findings; the state per (kind, path) is its license set.
+    """Convert arriving findings and merge them into the stored table at ``path``.
 
-    Every batch appends only the files it changed.
+    The table is the only state: a batch reads and rewrites the buckets it touches
+    (``sources.findings_table.current_findings`` reads the result).
     """
-    return _started(
-        convert_findings(raw).writeStream.outputMode("update").foreachBatch(_append_changes(path)), checkpoint, trigger
-    )
+    merge = lambda batch, batch_id: merge_into(path, batch, batch_id)
+    return _started(raw.writeStream.foreachBatch(merge), checkpoint, trigger)
 
 
 def stream_counts(

@@ -26,7 +26,7 @@ from licspark.plans import predict, train, update
 from licspark.session import durable, new_table_path
 from licspark.sources import files as file_source
 from licspark.sources import findings as finding_source
-from licspark.sources import store
+from licspark.sources import findings_table, store
 from licspark.streaming import jobs
 from licspark.workload import inputs
 
@@ -118,10 +118,13 @@ def kind_counts(spark, sf_dir):
 
 @query
 def incremental_upsert(spark, sf_dir):
+    """A first load, then an increment, in the stored table."""
     raw = inputs.raw_findings(spark, sf_dir)
     is_old = F.col("seq") % 3 != 0
-    old = convert.convert_findings(raw.where(is_old))
-    return _file_rows(convert.upsert_findings(old, raw.where(~is_old)))
+    path = new_table_path(spark, "upsert")
+    findings_table.merge_into(path, raw.where(is_old), 0)
+    findings_table.merge_into(path, raw.where(~is_old), 1)
+    return _file_rows(findings_table.current_findings(spark, path))
 
 
 # ------------------------------------------------------------------- mapping
@@ -861,13 +864,16 @@ def stream_statement_counts(spark, sf_dir):
 
 @query
 def stream_findings(spark, sf_dir):
+    """Findings that arrive in several batches, merged into the stored table."""
     path = new_table_path(spark, "findings")
-    lines = _stream_table(spark, sf_dir, "lineitem")
+    inputs.table(spark, sf_dir, "lineitem").repartition(3).write.parquet(f"{path}/in")
+    lines = spark.read.parquet(f"{path}/in")
+    lines = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     raw = spark.sql(
         inputs.raw_findings_sql(inputs.SPARK).replace("FROM lineitem", "FROM {lineitem}"), lineitem=lines
     )
-    done = jobs.stream_findings(raw, f"{path}/log", f"{path}/state")
-    return _file_rows(jobs.latest(_finished(done, spark, f"{path}/log", True), ["kind", "path"]))
+    jobs.stream_findings(raw, f"{path}/table", f"{path}/state").awaitTermination()
+    return _file_rows(findings_table.current_findings(spark, f"{path}/table"))
 
 
 @query

@@ -11,7 +11,7 @@ from licspark.operators import evaluation, features, models, scoring, vectors
 from licspark.plans import predict
 from licspark.plans import model as model_plan
 from licspark.plans.train import train
-from licspark.sources import store
+from licspark.sources import findings_table, store
 from licspark.streaming import jobs
 
 TEXTS = {
@@ -234,8 +234,15 @@ def test_streams_in_many_batches(spark, tmp_path, model):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
     log = str(tmp_path / "log")
     jobs.stream_findings(stream, log, str(tmp_path / "state")).awaitTermination()
-    now = jobs.latest(spark.read.option("basePath", log).parquet(log), ["kind", "path"])
+    now = findings_table.current_findings(spark, log)
     assert {r.path: r.licenses for r in now.collect()} == {f"p{i}": ["L0", "L1", "L2"] for i in range(5)}
+    # a batch that runs again changes nothing, and an increment reads its own buckets only
+    again = spark.createDataFrame([(99, "p1", "CONCLUSION", ["L9"], None)], schema)
+    for _ in range(2):
+        findings_table.merge_into(log, again, 7)
+    now = {r.path: r.licenses for r in findings_table.current_findings(spark, log).collect()}
+    assert now == {f"p{i}": ["L0", "L1", "L2"] + ["L9"] * (i == 1) for i in range(5)}
+    assert len(list((tmp_path / "log" / "batch=7").glob("bucket=*"))) == 1
 
     counts = str(tmp_path / "counts")
     keyed = stream.select("path", F.explode("licenses").alias("license"))
