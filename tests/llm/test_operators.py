@@ -218,7 +218,7 @@ def test_repeated_runs_against_pairs(spark):
             seen[url.split("/")[2], tuple(words[k : k + host_suffixes.MIN_RUN])].add(page)
     want = sum(len(p) > 1 for p in seen.values())
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
-    assert host_suffixes.repeated_runs(frame).count() == want
+    assert host_suffixes.repeated_runs(host_suffixes.read_pages(frame)).count() == want
 
 
 def test_article_pages(spark, sf_dir):
