@@ -6,12 +6,16 @@ arrays are bounded by (classes x ``max_features``) and travel as broadcasts.
 """
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from licspark.functions.ngrams import word_ngrams
 
+#: Rows of one sparse product.
+ROWS = 512
+
 
 def add_counts(df: DataFrame, vocabulary: list[str], words: str, output: str) -> DataFrame:
     """Counts of the known 1- to 3-grams of a word array, as a sparse vector."""
@@ -33,6 +37,32 @@ def tfidf_vector(df: DataFrame, counts: str, idf: np.ndarray) -> Column:
     return weigh(counts)
 
 
+def margins(indices: list, values: list, idf: np.ndarray, coefficients: np.ndarray, intercepts: np.ndarray) -> np.ndarray:
+    """Margins (rows, classes) of many rows of counts, given as term indices and values, by one sparse product."""
+    bounds = np.concatenate(([0], np.cumsum([len(v) for v in indices]))).astype(np.int64)
+    terms = np.concatenate([np.zeros(0, np.int64), *indices]).astype(np.int64)
+    weights = (1.0 + np.log(np.concatenate([np.zeros(0), *values]))) * idf[terms]
+
+    def sums(values):
+        total = np.zeros((len(values) + 1, *values.shape[1:]))
+        np.cumsum(values, axis=0, out=total[1:])
+        return total[bounds[1:]] - total[bounds[:-1]]
+
+    lengths = np.sqrt(sums(weights**2))
+    product = sums(coefficients.T[terms] * weights[:, None])
+    return product / np.where(lengths > 0, lengths, 1.0)[:, None] + intercepts
+
+
+def decided(margins: np.ndarray, links: np.ndarray | None) -> list[list[int]]:
+    """Positions of the predicted classes per row of margins, all rows of a class at once."""
+    if links is None:
+        return [[int(k)] for k in margins.argmax(axis=1)]
+    flags = np.zeros(margins.shape)
+    for k in range(margins.shape[1]):
+        flags[:, k] = margins[:, k] + flags @ links[k] > 0
+    return [np.flatnonzero(row).tolist() for row in flags]
+
+
 def linear_classes(df: DataFrame, counts: str, idf, coefficients, links, intercepts) -> Column:
     """Positions of the predicted classes.
 
@@ -42,14 +72,14 @@ def linear_classes(df: DataFrame, counts: str, idf, coefficients, links, interce
     """
     shared = df.sparkSession.sparkContext.broadcast((idf, coefficients, links, intercepts))
 
-    def classify(v):
+    @F.pandas_udf("array<int>")
+    def classify(batch: pd.DataFrame) -> pd.Series:
         idf, coefficients, links, intercepts = shared.value
-        margins = coefficients[:, v.indices] @ _weights(v, idf) + intercepts
-        if links is None:
-            return [int(margins.argmax())]
-        flags = np.zeros(len(margins))
-        for k in range(len(flags)):
-            flags[k] = margins[k] + links[k] @ flags > 0
-        return [int(k) for k in np.flatnonzero(flags)]
-
-    return F.udf(classify, "array<int>", useArrow=True)(counts)
+        found = []
+        # a sparse vector arrives as its fields
+        for first in range(0, len(batch), ROWS):
+            part = batch.iloc[first : first + ROWS]
+            found += decided(margins(part["indices"].tolist(), part["values"].tolist(), idf, coefficients, intercepts), links)
+        return pd.Series(found)
+
+    return classify(counts)

@@ -254,3 +254,25 @@ def test_streams_in_many_batches(spark, tmp_path, model):
     out = str(tmp_path / "out")
     jobs.stream_predictions(texts, model, out, str(tmp_path / "state3")).awaitTermination()
     assert spark.read.parquet(out).count() == 30
+
+
+def test_batch_decisions_are_those_of_single_rows():
+    """One sparse product for many rows against plain sums, with and without chain links."""
+    from pyspark.ml.linalg import SparseVector
+
+    rng = np.random.default_rng(5)
+    idf, coefficients, intercepts = rng.random(30) + 1, rng.normal(size=(4, 30)), rng.normal(size=4)
+    links = np.tril(rng.normal(size=(4, 4)), -1)
+    rows = [SparseVector(30, sorted(rng.choice(30, n, replace=False).tolist()), rng.integers(1, 9, n)) for n in (0, 1, 5, 12, 30)]
+    got = vectors.margins([r.indices for r in rows], [r.values for r in rows], idf, coefficients, intercepts)
+    single, chain = vectors.decided(got, None), vectors.decided(got, links)
+    for row, margin, best, flagged in zip(rows, got, single, chain):
+        x = np.zeros(30)
+        x[row.indices] = (1 + np.log(row.values)) * idf[row.indices]
+        x /= np.sqrt(x @ x) or 1
+        assert margin == pytest.approx(coefficients @ x + intercepts)
+        assert best == [int(np.argmax(coefficients @ x + intercepts))]
+        flags = []
+        for k in range(4):
+            flags.append(float(margin[k] + sum(links[k][j] * flags[j] for j in range(k)) > 0))
+        assert flagged == [k for k in range(4) if flags[k]]
