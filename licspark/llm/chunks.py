@@ -30,30 +30,42 @@ class ChunkTable:
     """Arrays of one dtype by chunk; `encode` turns a list of chunks into a list of arrays."""
 
     def __init__(self, encode: Callable[[list[bytes]], list], dtype, limit: int):
-        self.encode, self.limit = encode, limit
-        self.store = np.zeros(1 << 16, dtype)
+        self.encode, self.limit, self.dtype = encode, limit, dtype
         self.clear()
 
     def clear(self) -> None:
-        self.places: dict[bytes, tuple[int, int]] = {}
-        self.used = 0
+        self.numbers: dict[bytes, int] = {}
+        self.store = np.zeros(1 << 16, self.dtype)
+        #: ends[k]: place in the store where the array of chunk number k - 1 ends
+        self.ends = np.zeros(1 << 12, np.int64)
+
+    def _add(self, chunks: list[bytes]) -> None:
+        arrays = [np.asarray(a, self.dtype) for a in self.encode(chunks)]
+        known = len(self.numbers)
+        used = self.ends[known]
+        ends = used + np.cumsum([len(a) for a in arrays])
+        self.ends = _grown(self.ends, known + 1 + len(chunks))
+        self.store = _grown(self.store, ends[-1])
+        self.ends[known + 1 : known + 1 + len(chunks)] = ends
+        self.store[used : ends[-1]] = np.concatenate(arrays)
+        self.numbers.update(zip(chunks, range(known, known + len(chunks))))
 
     def joined(self, data: np.ndarray, cuts: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Encoded chunks on end, and the bounds of each text in them; `bounds` are the texts' bounds in chunks."""
         values, numbers = distinct(data, cuts)
-        if len(self.places) + len(values) > self.limit:
+        if len(self.numbers) + len(values) > self.limit:
             self.clear()
-        new = [v for v in values if v not in self.places]
+        new = [v for v in values if v not in self.numbers]
         if new:
-            arrays = [np.asarray(a, self.store.dtype) for a in self.encode(new)]
-            sizes = [len(a) for a in arrays]
-            total = self.used + sum(sizes)
-            if total > len(self.store):
-                self.store = np.concatenate([self.store[: self.used], np.zeros(2 * total - self.used, self.store.dtype)])
-            self.store[self.used : total] = np.concatenate(arrays)
-            for value, size in zip(new, sizes):
-                self.places[value] = (self.used, size)
-                self.used += size
-        at = np.array([self.places[v] for v in values], np.int64).reshape(-1, 2)[numbers]
-        ends = np.concatenate(([0], np.cumsum(at[:, 1])))
-        return self.store[ranges(at[:, 0], at[:, 1])], ends[bounds]
+            self._add(new)
+        at = np.array([self.numbers[v] for v in values], np.int64)[numbers]
+        starts, ends = self.ends[at], self.ends[at + 1]
+        total = np.concatenate(([0], np.cumsum(ends - starts)))
+        return self.store[ranges(starts, ends - starts)], total[bounds]
+
+
+def _grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, with room for `size` values."""
+    if size <= len(array):
+        return array
+    return np.concatenate([array, np.zeros(max(size, size + size // 2) - len(array), array.dtype)])

@@ -30,7 +30,7 @@ from licspark.session import durable, new_table_path
 
 FRAME_IDS = 1 << 16
 #: Distinct chunks that a Python worker remembers.
-TABLE_CHUNKS = 600_000
+TABLE_CHUNKS = 700_000
 _SEEK = np.dtype([("offset", "<u8"), ("bytes", "<u8"), ("ids", "<u8"), ("crc", "<u4")])
 _FOOTER = "<QQIQI8s"
 MAGIC = b"IDFRAME1"
