@@ -101,6 +101,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_bestfit": op10_bestfit,
 }
-
-#: DuckDB twins over whole tables, where SQL can express the query.
-ORACLES: dict[str, str] = {}
