@@ -308,6 +308,20 @@ def test_toxicity(spark, sf_dir, edge_docs, no_docs):
     assert factorization.score_toxicity(no_docs, factorization.train_toxicity(no_docs, labels.limit(0))).count() == 0
 
 
+def test_neutral_words_toxic_together(spark):
+    """Each word stands in as many clean as toxic rows, by their shares; a word of two toxic rows counts too."""
+    rng = random.Random(3)
+    extra = ["mention verb", "idiot", *["mention"] * 4, *["verb"] * 4]
+    texts = [(k, " ".join(f"t{rng.randrange(200)}" for _ in range(20)) + f" {extra[k % 10]}" + (" rarely" if k in (1, 11) else "")) for k in range(2000)]
+    docs = spark.createDataFrame([*texts, (3001, "rarely"), (3002, "never")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 10 < 2)) for k in range(1500)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in factorization.score_toxicity(docs, factorization.train_toxicity(docs, labels)).collect()}
+    unseen = range(1500, 2000)
+    assert np.mean([got[k].predicted == (k % 10 < 2) for k in unseen]) > 0.98
+    assert np.mean([got[k].predicted for k in unseen if k % 10 == 0]) > 0.9
+    assert got[3001].score > got[3002].score
+
+
 def test_languages(spark, sf_dir, edge_docs, no_docs):
     rows = queries.op5_language_bayes(spark, sf_dir).collect()
     known = {r.doc_id: r.lang for r in documents(spark, sf_dir).collect()}
