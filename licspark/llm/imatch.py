@@ -3,10 +3,11 @@
 Terms are words with A-Z lower-cased, hashed to BUCKETS; the lexicon is every bucket
 whose share of documents lies between two bounds. Shares do not change as a corpus
 grows, nor does the noise of rare terms that share a bucket (distinct terms per
-document / BUCKETS), and the lexicon is a bit per bucket. Each subset keeps each term
-of the lexicon with its own probability, by a hash. A fingerprint holds one slot per
-subset: the hash of the text's distinct terms in it. Large subsets agree for copies
-only, small ones also for texts that share most terms.
+document / BUCKETS), and the lexicon is a bit per bucket. The first PARTS subsets divide
+the lexicon by a hash, so each term stands in exactly one of them and no term is left
+out of a fingerprint; the others keep each term with a probability of their own. A
+fingerprint holds one slot per subset: the hash of the text's distinct terms in it.
+Large subsets agree for copies only, small ones also for texts that share most terms.
 """
 
 import hashlib
@@ -22,8 +23,10 @@ from licspark.llm.counters import bucket_counts
 BUCKETS = 1 << 20
 #: Shares of documents between which a term is kept: idf between 3.0 and 7.6.
 LOW, HIGH = 0.0005, 0.05
-#: One subset per entry; each keeps a term with probability 1 / entry.
-SUBSETS = (32,) * 8 + (128,) * 56
+#: Subsets that divide the lexicon.
+PARTS = 32
+#: One subset per entry; each keeps a term with probability 1 / entry, the first PARTS a term in PARTS each.
+SUBSETS = (PARTS,) * PARTS + (128,) * 32
 _EMPTY = "-" * 8
 _ROWS = 1000
 
@@ -48,8 +51,8 @@ def _subset_masks() -> np.ndarray:
     """For each bucket a bit per subset; built once per worker."""
     cache = textops.worker_cache("subset masks")
     if SUBSETS not in cache:
-        masks = np.zeros(BUCKETS, np.uint64)
-        for k, one_in in enumerate(SUBSETS):
+        masks = np.uint64(1) << (textops.mixed(np.arange(BUCKETS, dtype=np.uint64) + np.uint64(1 << 32)) % np.uint64(PARTS))
+        for k, one_in in list(enumerate(SUBSETS))[PARTS:]:
             drawn = textops.mixed(np.arange(BUCKETS, dtype=np.uint64) + np.uint64((k + 1) << 32)) % np.uint64(one_in)
             masks |= (drawn == 0).astype(np.uint64) << np.uint64(k)
         cache[SUBSETS] = masks
@@ -99,7 +102,7 @@ def fingerprint_texts(hashes: np.ndarray, filled: np.ndarray) -> list[str]:
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Share of equal slots among those that hold a term in either fingerprint; 1 for two fingerprints without terms."""
+    """Share of equal slots among those that hold a term in either fingerprint; 1 for two fingerprints without terms, which only texts without words have."""
     either = a[1] | b[1]
     equal = (a[0] == b[0]) & a[1] & b[1]
     total = either.sum(axis=1)

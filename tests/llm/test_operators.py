@@ -383,6 +383,23 @@ def test_fingerprints(edge_docs):
     assert rows[7] == rows[8] and rows[7] != rows[9]
 
 
+def test_fingerprints_hold_every_term():
+    """A single term fills a slot and changes the fingerprint; only two texts without words are alike without terms."""
+    everything, nothing = (imatch.Fingerprinter(np.packbits(np.full(imatch.BUCKETS, one))) for one in (True, False))
+    base = " ".join(f"base{k}" for k in range(40))
+    for maker in (everything, nothing):
+        words = [f"word{k}" for k in range(200)]
+        hashes, filled = maker.slots(pa.array([*words, "", None]))
+        assert filled[:200].any(axis=1).all() and not filled[200:].any()
+        assert len(set(imatch.fingerprint_texts(hashes[:200], filled[:200]))) == 200
+        at = np.arange(200)
+        assert not imatch.likeness((hashes[at], filled[at]), (hashes[at * 0 + 200], filled[at * 0 + 200])).any()
+        assert not imatch.likeness((hashes[at[:-1]], filled[at[:-1]]), (hashes[at[1:]], filled[at[1:]])).any()
+        assert imatch.likeness((hashes[200:201], filled[200:201]), (hashes[201:], filled[201:])).tolist() == [1.0]
+        longer = maker.slots(pa.array([f"{base} {w}" for w in words]))
+        assert len(set(imatch.fingerprint_texts(*longer))) == 200
+
+
 # --- packing
 
 
