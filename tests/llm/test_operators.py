@@ -204,6 +204,27 @@ def test_main_text(spark):
     assert host_suffixes.extract_main_text(pages.limit(0)).count() == 0
 
 
+KEPT = [
+    ("<p>one <svg class=i /> two</p><p>three</p>", "one two|three"),
+    ("<p>one <canvas/>two</p><object data='a>b' /><p>three</p>", "one two|three"),
+    ("<p>one <svg class=i><text>no</text></svg> two</p><iframe src=http://a.org/>no</iframe>", "one two"),
+    ("<div class='content has-sidebar'><article><p>the text</p></article></div><p>open</p>", "the text"),
+    ("<div id=widget-area><article><p>the long text</p></article></div><p>open</p>", "the long text"),
+    ("<div class=related><article><p>a teaser</p></article></div><article><p>text</p></article>", "text"),
+    ("<aside><article><p>a long teaser that is no text</p></article></aside><p>open</p>", "open"),
+    ("<div id=comments><article><p>a long answer that is no text</p></article></div><p>open</p>", "open"),
+    ("<p>a <span hidden>no</span><span style='display: none'>no</span><a id='advert'>no</a><b role=navigation>no</b> z</p>", "a|z"),
+    ("<p>a <a href='/x?id=menu' data-id='share'>link</a> z</p>", "a link z"),
+]
+
+
+@pytest.mark.parametrize("page, text", KEPT)
+def test_no_text_lost_by_the_parser(page, text):
+    blocks = host_suffixes.page_blocks(page)
+    zone = host_suffixes.ARTICLE if any(z == host_suffixes.ARTICLE for z, _ in blocks) else host_suffixes.OPEN
+    assert "|".join(t for z, t in blocks if z == zone) == text
+
+
 def test_repeated_runs_against_pairs(spark):
     """Runs that two distinct pages of a host share, by comparing all pages."""
     rng = random.Random(2)
