@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and returns the rows it keeps with the co
 """
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import licspark
 from licspark.llm.bestfit import best_fit_packing
@@ -36,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents left into bins."""
-    return best_fit_packing(docs)
+    """Pack the documents left into bins; none of them is a near duplicate of another."""
+    return best_fit_packing(docs.withColumn("_cluster", F.lit(None).cast("string")), cluster="_cluster")
 
 
 STAGES = [

@@ -486,6 +486,23 @@ def test_packing(spark, sf_dir, edge_docs, no_docs):
     assert bestfit.best_fit_packing(no_docs).count() == 0
 
 
+def test_near_copies_share_no_bin(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    texts = []
+    for k in range(12):
+        words = list(base)
+        words[8 * k] = f"other{k}"
+        texts.append((k, " ".join(words), None if k % 2 else f"s{k}", "x" if k < 6 else None))
+    texts += [(k, " ".join(f"v{rng.randrange(10**6)}" for _ in range(100)), None, "x" if k < 15 else None) for k in range(12, 30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string, given string").repartition(3)
+    bins = check_bins(docs.collect(), bestfit.best_fit_packing(docs, 500).collect(), 500)
+    assert all(sum(p.doc_id < 12 for p in packed) <= 1 for packed in bins.values())
+    assert len(bins) == 12
+    bins = check_bins(docs.collect(), bestfit.best_fit_packing(docs, 500, cluster="given").collect(), 500)
+    assert all(sum(p.doc_id < 6 or 12 <= p.doc_id < 15 for p in packed) <= 1 for packed in bins.values())
+
+
 # --- pipeline
 
 
