@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from licspark.llm.bestfit import best_fit_packing
 from licspark.llm.boosted_quality import score_quality, train_quality
 from licspark.llm.factorization import score_toxicity, train_toxicity
+from licspark.llm.hard_negatives import hard_negatives
 from licspark.llm.host_suffixes import extract_main_text
 from licspark.llm.imatch import edit_probe
 from licspark.llm.language_bayes import predict_languages, train_languages
 from licspark.llm.ngram_jaccard import ngram_jaccard_classes
 from licspark.llm.piece_codec import decode_pieces, encode_pieces
+from licspark.llm.prefix_trie import conversation_paths, prefix_trie, rejoined
 from licspark.llm.quality_rules import quality_rules
+from licspark.llm.shard_packing import shard_documents
 from licspark.llm.token_frames import token_frames
 
 #: The id that ends a document in the token files.
@@ -89,6 +92,22 @@ def op10_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents"))
 
 
+def op11_lemp_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", changed), F.col("vec_id") % 100 == 0)
+
+
+def op12_bestfit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(_table(spark, sf_dir, "documents"), shards=16)
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = conversation_paths(_table(spark, sf_dir, "conversations"))
+    return prefix_trie(rejoined(paths, 100, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
@@ -100,4 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_factorization": op8_factorization,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_bestfit": op10_bestfit,
+    "op11_lemp_negatives": op11_lemp_negatives,
+    "op12_bestfit_shards": op12_bestfit_shards,
+    "op13_prefix_trie": op13_prefix_trie,
 }
