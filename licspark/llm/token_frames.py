@@ -17,6 +17,7 @@ documents asked for, and checks each against its checksum.
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from licspark.llm import shared_files, textops
-from licspark.llm.chunks import ChunkTable
+from licspark.llm.chunks import HashedChunkTable
 from licspark.session import durable, new_table_path
 
 FRAME_IDS = 1 << 16
-#: Distinct chunks that a Python worker remembers.
-TABLE_CHUNKS = 700_000
+#: Distinct chunks that a Python worker remembers; about 60 bytes each.
+TABLE_CHUNKS = 1_500_000
 _SEEK = np.dtype([("offset", "<u8"), ("bytes", "<u8"), ("ids", "<u8"), ("crc", "<u4")])
 _FOOTER = "<QQIQI8s"
 MAGIC = b"IDFRAME1"
@@ -129,25 +130,35 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _MARK = np.zeros(256, bool)
 _MARK[0x21:0x7F] = True
+_SIGN = _MARK.copy()
 _MARK &= ~_ALNUM
+#: Second bytes of the letters U+00C0 to U+00FF, without the signs of multiplication and division.
+_LATIN_TAIL = np.zeros(256, bool)
+_LATIN_TAIL[0x80:0xC0] = True
+_LATIN_TAIL[[0x97, 0xB7]] = False
 
 
 def chunk_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places where the byte-level pre-tokenizer cuts in any surroundings.
 
     Before a blank that a word follows: such a blank belongs to the word, and the
-    white space before it ends there as at the end of a text. And between an ASCII
-    letter or digit and an ASCII mark.
+    white space before it ends there as at the end of a text. Between a letter or
+    digit (ASCII, or a Latin letter of two bytes) and an ASCII mark. And around a line
+    end that stands alone between two signs.
     """
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         cut[:-2] = (data[:-1] == 32) & _AFTER_BLANK[data[1:]]
-        cut[1:-1] |= _ALNUM[data[:-1]] & _MARK[data[1:]]
+        mark = _MARK[data[1:]]
+        cut[1:-1] |= _ALNUM[data[:-1]] & mark
+        cut[2:-1] |= (data[:-2] == 0xC3) & _LATIN_TAIL[data[1:-1]] & mark[1:]
+        alone = np.flatnonzero(_SIGN[data[:-2]] & (data[1:-1] == 10) & _AFTER_BLANK[data[2:]])
+        cut[alone + 1] = cut[alone + 2] = True
     cut[offsets] = True
     return np.flatnonzero(cut)
 
 
-def _table(path: str) -> ChunkTable:
+def _table(path: str) -> HashedChunkTable:
     """This worker's chunk table for a tokenizer file."""
     tables = textops.worker_cache("chunk tables")
     if path not in tables:
@@ -157,12 +168,14 @@ def _table(path: str) -> ChunkTable:
         # the strings of special tokens in a text are ordinary text
         tokenizer.encode_special_tokens = True
 
-        def encode(chunks: list[bytes]) -> list[list[int]]:
+        def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             # a chunk may start after a blank of its text, so it is never changed
             texts = [chunk.decode() for chunk in chunks]
-            return [coded.ids for coded in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = [coded.ids for coded in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
 
-        tables[path] = ChunkTable(encode, np.uint32, TABLE_CHUNKS)
+        tables[path] = HashedChunkTable(encode, np.uint32, TABLE_CHUNKS)
     return tables[path]
 
 
@@ -174,20 +187,23 @@ def encoded(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.n
     table = _table(path)
     for first, _, data, offsets in textops.slices(column):
         cuts = chunk_cuts(data, offsets)
-        yield first, *table.joined(data, cuts, np.searchsorted(cuts, offsets))
+        hashes = textops.span_hashes(data, cuts[:-1], cuts[1:])
+        yield first, *table.joined(data, cuts, np.searchsorted(cuts, offsets), hashes)
 
 
 def write_token_frames(docs: DataFrame, tokenizer: str, end_id: int, folder: str, frame_ids: int = FRAME_IDS) -> DataFrame:
     """Encode and write all documents in ascending doc_id order; returns the stored list of shard files.
 
     `docs` needs doc_id and text; other columns are ignored, a null text is empty, a
-    null doc_id comes first. Rows with equal doc_id are ordered by text. `end_id` ends
+    null doc_id comes first. Rows with equal doc_id are ordered by a hash of the text, so
+    that one id with many rows spreads over files. `end_id` ends
     each document. Columns: shard, path, n_docs, n_tokens and start (ids in the shards
     before). A file whose task was lost is not in the list. An empty table gives an
     empty list.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = texts.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
 
     def work(batches):
         task = TaskContext.get()
@@ -242,7 +258,9 @@ def read_token_frames(shards: DataFrame, doc_ids: list[int] | None = None) -> Da
                     if held:
                         yield _documents(held)
 
-    return shards.select("path", "start").repartition(F.col("path")).mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary")
+    # a task per file, whatever little the list of files weighs
+    files = shards.select("shard", "path", "start")
+    return files.repartitionByRange(max(1, files.count()), "shard").mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _documents(rows: list[tuple]) -> pa.RecordBatch:

@@ -8,15 +8,17 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from licspark.llm import queries, shared_files
+from licspark.llm.chunks import HashedChunkTable
 from licspark.llm.piece_codec import decode_pieces, encode_pieces
 from licspark.llm.token_frames import FrameReader, read_token_frames, write_token_frames
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-SIGNS = ["a", "the", "Don", "'s", "'t", "'", " ", "  ", "\n", "\t", "\r\n", ".", ",", "!!", "1", "23", "é", "ß", "×", "…", " ", "　", " ", "日本", "🙂", "\x1c", "\x00", "<|endoftext|>", "<s>", "▁", "ﬁ", "́", "_", "#"]
+SIGNS = ["a", "the", "Don", "'s", "'t", "'", " ", "  ", "\n", "\t", "\r\n", ".", ",", "!!", "1", "23", "é", "ß", "×", "÷", "…", " ", "　", " ", "日本", "🙂", "\x1c", "\x00", "<|endoftext|>", "<s>", "▁", "ﬁ", "́", "_", "#"]
 
 
 def random_texts(n=600, seed=3):
@@ -34,7 +36,8 @@ def docs(spark):
 
 def test_frames_hold_what_the_library_gives(spark, docs, tmp_path):
     shards = write_token_frames(docs, BPE, 2, str(tmp_path / "frames"), frame_ids=500)
-    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+    rows = docs.withColumn("hash", F.xxhash64("text")).collect()
+    rows.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.hash))
     tokenizer = Tokenizer.from_file(BPE)
     tokenizer.encode_special_tokens = True
     want, start = [], 0
@@ -49,6 +52,27 @@ def test_frames_hold_what_the_library_gives(spark, docs, tmp_path):
     assert sum(r.n_docs for r in shards.collect()) == len(rows)
 
 
+def test_chunk_table_forgets_and_survives_equal_hashes():
+    rng = random.Random(5)
+    calls = []
+
+    def encode(chunks):
+        calls.append(len(chunks))
+        return np.concatenate([np.frombuffer(c, np.uint8) for c in chunks]).astype(np.uint32) + 1000, np.array([len(c) for c in chunks])
+
+    table = HashedChunkTable(encode, np.uint32, 60)
+    for round_ in range(200):
+        chunks = [bytes(rng.choices(b"abc", k=rng.randrange(1, 5))) for _ in range(rng.randrange(1, 25))]
+        data = np.frombuffer(b"".join(chunks), np.uint8)
+        cuts = np.concatenate(([0], np.cumsum([len(c) for c in chunks])))
+        middle = rng.randrange(len(chunks) + 1)
+        hashes = np.array([int.from_bytes(hashlib.sha1(c).digest()[: 1 if round_ % 10 == 0 else 8], "little") for c in chunks], np.uint64)
+        ids, bounds = table.joined(data, cuts, np.array([0, middle, len(chunks)]), hashes)
+        assert ids.tolist() == [b + 1000 for b in data.tolist()] and bounds.tolist() == [0, cuts[middle], len(data)]
+        assert len(table.newer.hashes) <= 30 and len(table.older.hashes) <= 30
+    assert sum(calls) < 200 * 12
+
+
 def test_reader_opens_only_the_frames_it_needs_and_sees_damage(spark, docs, tmp_path):
     shard = write_token_frames(docs.coalesce(1), BPE, 2, str(tmp_path / "frames"), frame_ids=200).orderBy("shard").first()
     with shared_files.open_at_will(shard.path) as file:
