@@ -86,7 +86,7 @@ def block_letters(letters: Column) -> Column:
     )
 
 
-def _block_line(line, k, last, marks):
+def block_line(line, k, last, marks):
     inner = F.when(F.startswith(line, marks["start"]) | (line == ""), F.lit(None)).otherwise(
         F.when(marks["middle"].isNull(), line).when(
             F.startswith(line, marks["middle"]), _part(line, marks["middle"], 2)
@@ -99,6 +99,12 @@ def _block_line(line, k, last, marks):
     )
 
 
+def one_line_comment(line: Column, state: Column, marks: Column) -> Column:
+    """Body of a line comment or of a block on one line; null for other lines."""
+    inner = F.split_part(F.split_part(line, marks["start"], F.lit(2)), marks["end"], F.lit(1))
+    return F.when(state.isin("a", "A"), _part(line, marks["line"], 2)).when(state == "B", strip(inner))
+
+
 def _comment(start, end, body):
     return F.struct(
         start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), body.alias("body")
@@ -129,24 +135,15 @@ def raw_comments(lines: Column, marks: Column) -> Column:
             body = F.filter(
                 F.transform(
                     F.slice(lines, span["first"] + 1, last + 1),
-                    lambda line, k: _block_line(line, k, last, marks),
+                    lambda line, k: block_line(line, k, last, marks),
                 ),
                 lambda text: text.isNotNull(),
             )
             return _comment(span["first"] + 1, span["last"] + 1, join_lines(body))
 
         def one_line(line, i):
-            state = F.get(states, i)
-            return F.when(
-                state.isin("a", "A"), _comment(i + 1, i + 1, _part(line, marks["line"], 2))
-            ).when(
-                state == "B",
-                _comment(
-                    i + 1,
-                    i + 1,
-                    strip(F.split_part(F.split_part(line, marks["start"], F.lit(2)), marks["end"], F.lit(1))),
-                ),
-            )
+            body = one_line_comment(line, F.get(states, i), marks)
+            return F.when(body.isNotNull(), _comment(i + 1, i + 1, body))
 
         singles = F.filter(F.transform(lines, one_line), lambda c: c.isNotNull())
         return F.sort_array(F.concat(F.transform(spans, block), singles))

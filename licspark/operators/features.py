@@ -6,6 +6,7 @@ from licspark import fixed_values as fv
 from licspark.functions.ngrams import term_counts, word_ngrams
 from licspark.functions.text import let
 from licspark.operators.lookup import found, lookup_value
+from licspark.operators.top_terms import top_terms
 
 
 def document_terms(docs: DataFrame, key: str = "path", words: str = "words", n_max: int = 3) -> DataFrame:
@@ -20,7 +21,6 @@ def term_statistics(terms: DataFrame) -> DataFrame:
 
 def vocabulary(
     docs: DataFrame,
-    key: str = "path",
     words: str = "words",
     max_features: int = fv.MAX_FEATURES,
     n_max: int = 3,
@@ -29,13 +29,9 @@ def vocabulary(
 
     ``idf = ln((1 + n) / (1 + df)) + 1``; ties in frequency go by term.
     """
-    stats = term_statistics(document_terms(docs, key, words, n_max))
     n_docs = docs.agg(F.count("*").alias("n_docs")).scalar()
-    return (
-        stats.orderBy(F.desc("tf"), "term")
-        .limit(max_features)
-        .withColumn("idf", F.log((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0)
-    )
+    idf = F.log((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0
+    return top_terms(docs, max_features, words, n_max).withColumn("idf", idf)
 
 
 def tfidf(

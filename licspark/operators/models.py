@@ -93,7 +93,7 @@ def _prepare(samples: DataFrame, max_features: int):
     Only the vocabulary (at most ``max_features`` rows) comes to the driver. A
     fit runs one job per iteration, so few rows should be few tasks.
     """
-    vocab = vocabulary(samples, "path", "words", max_features).select("term", "idf").collect()
+    vocab = vocabulary(samples, "words", max_features).select("term", "idf").collect()
     vocab = sorted((r["term"], r["idf"]) for r in vocab)
     terms, idf = [t for t, _ in vocab], np.array([w for _, w in vocab])
     n_rows = samples.count()

@@ -37,11 +37,15 @@ def tfidf_vector(df: DataFrame, counts: str, idf: np.ndarray) -> Column:
     return weigh(counts)
 
 
-def margins(indices: list, values: list, idf: np.ndarray, coefficients: np.ndarray, intercepts: np.ndarray) -> np.ndarray:
-    """Margins (rows, classes) of many rows of counts, given as term indices and values, by one sparse product."""
+def flat(indices: list, values: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of the rows, term numbers and counts of many sparse rows on end."""
     bounds = np.concatenate(([0], np.cumsum([len(v) for v in indices]))).astype(np.int64)
-    terms = np.concatenate([np.zeros(0, np.int64), *indices]).astype(np.int64)
-    weights = (1.0 + np.log(np.concatenate([np.zeros(0), *values]))) * idf[terms]
+    return bounds, np.concatenate([np.zeros(0, np.int64), *indices]).astype(np.int64), np.concatenate([np.zeros(0), *values])
+
+
+def margins(bounds: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, coefficients: np.ndarray, intercepts: np.ndarray) -> np.ndarray:
+    """Margins (rows, classes) of many rows of counts (see `flat`) by one sparse product."""
+    weights = (1.0 + np.log(counts)) * idf[terms]
 
     def sums(values):
         total = np.zeros((len(values) + 1, *values.shape[1:]))
@@ -79,7 +83,61 @@ def linear_classes(df: DataFrame, counts: str, idf, coefficients, links, interce
         # a sparse vector arrives as its fields
         for first in range(0, len(batch), ROWS):
             part = batch.iloc[first : first + ROWS]
-            found += decided(margins(part["indices"].tolist(), part["values"].tolist(), idf, coefficients, intercepts), links)
+            rows = flat(part["indices"].tolist(), part["values"].tolist())
+            found += decided(margins(*rows, idf, coefficients, intercepts), links)
         return pd.Series(found)
 
     return classify(counts)
+
+
+class Block:
+    """The columns of one problem in a product over the dictionary of many: its terms are `places` in that dictionary."""
+
+    def __init__(self, places, idf, coefficients, links, intercepts):
+        self.parts = (places, idf, coefficients, links, intercepts)
+
+    def decide(self, rows: np.ndarray, bounds: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> dict[int, list[int]]:
+        """Positions of the predicted classes of the given rows, which alone are multiplied."""
+        places, idf, coefficients, links, intercepts = self.parts
+        sizes = bounds[rows + 1] - bounds[rows]
+        ends = np.cumsum(sizes)
+        taken = np.arange(ends[-1] if len(ends) else 0) + np.repeat(bounds[rows] - (ends - sizes), sizes)
+        at = np.minimum(np.searchsorted(places, terms[taken]), max(0, len(places) - 1))
+        known = places[at] == terms[taken] if len(places) else np.zeros(len(taken), bool)
+        inside = np.concatenate(([0], np.cumsum(known)))[np.concatenate(([0], ends))]
+        found = margins(inside, at[known], counts[taken][known], idf, coefficients, intercepts)
+        return dict(zip(rows.tolist(), decided(found, links)))
+
+
+def routed_classes(df: DataFrame, counts: str, blocks: list[tuple], follow: dict[tuple[int, int], list[int]]) -> Column:
+    """Positions of the predicted classes per block, in one Python step: an array with an entry per block, null where it was not asked.
+
+    ``blocks`` hold the arguments of `Block`. The first block is asked for every row with a
+    count vector, the others for rows that are led there: ``follow[b, c]`` are the blocks asked when class
+    c of block b is predicted. A block leads to later blocks only.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((blocks, follow))
+
+    @F.pandas_udf("array<array<int>>")
+    def classify(batch: pd.DataFrame) -> pd.Series:
+        arguments, follow = shared.value
+        asked = [Block(*a) for a in arguments]
+        out = []
+        for first in range(0, len(batch), ROWS):
+            part = batch.iloc[first : first + ROWS]
+            rows = flat(part["indices"].tolist(), part["values"].tolist())
+            found = [[None] * len(asked) for _ in range(len(part))]
+            wanted = [set() for _ in asked]
+            wanted[0].update(range(len(part)))
+            for b, block in enumerate(asked):
+                if not wanted[b]:
+                    continue
+                for row, classes in block.decide(np.array(sorted(wanted[b]), np.int64), *rows).items():
+                    found[row][b] = classes
+                    for c in classes:
+                        for more in follow.get((b, c), ()):
+                            wanted[more].add(row)
+            out += found
+        return pd.Series(out)
+
+    return classify(counts)

@@ -1,9 +1,11 @@
 """Prediction: route, classify, refine. One pass over the rows, no shuffle, so it also streams."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from licspark import fixed_values as fv
 from licspark.functions.filetypes import file_type
+from licspark.operators.vectors import add_counts, routed_classes
 from licspark.operators.words import add_words, lemmatize
 from licspark.plans.model import FamilyLicenseModel, LicenseModel
 from licspark.sources.files import read_contents
@@ -36,25 +38,44 @@ def refine(licenses: Column, refined: dict[str, Column]) -> Column:
     return F.flatten(F.transform(licenses, replaced))
 
 
+def _blocks(model: LicenseModel) -> tuple[list[str], list[str], list[tuple], dict]:
+    """Names of the problems, the dictionary of all their terms, a block of columns for each, and which class leads to which block."""
+    families = model.families if isinstance(model, FamilyLicenseModel) else []
+    names = ["DP", "SP", "MP", *families]
+    problems = [model.problems[name] for name in names]
+    terms = sorted(set().union(*(p.terms for p in problems)))
+    number = {t: k for k, t in enumerate(terms)}
+    blocks = []
+    for p in problems:
+        places = np.array([number[t] for t in p.terms], np.int64)
+        order = np.argsort(places)
+        blocks.append((places[order], p.idf[order], p.coefficients.reshape(len(p.classes), -1)[:, order], p.links, p.intercepts))
+    follow = {(0, k): [1 if c == fv.SINGLE else 2] for k, c in enumerate(problems[0].classes) if c in (fv.SINGLE, fv.MULTI)}
+    for b in (1, 2):
+        follow |= {(b, k): [3 + families.index(c)] for k, c in enumerate(problems[b].classes) if c in families}
+    return names, terms, blocks, follow
+
+
 def predict_words(df: DataFrame, model: LicenseModel, words: str = "words") -> DataFrame:
-    """Add ``route`` and ``licenses``. Each branch sees empty words for rows of other routes."""
+    """Add ``route`` and ``licenses``.
+
+    Terms are counted once per row over the dictionary of all problems, and one Python step
+    asks routing first, then only the problems that a row's route and family lead to.
+    """
+    names, terms, blocks, follow = _blocks(model)
     nothing = F.array().cast("array<string>")
     has_words = F.coalesce(F.size(words) > 0, F.lit(False))
-    out = model.problems["DP"].predict(
-        df.withColumn("_words", F.coalesce(F.col(words), nothing)), "_words", "_dp"
-    ).withColumn("route", F.when(has_words, F.get("_dp", F.lit(0))))
-    for name, route in (("SP", fv.SINGLE), ("MP", fv.MULTI)):
-        branch = out.withColumn("_branch", F.when(F.col("route") == route, F.col("_words")).otherwise(nothing))
-        out = model.problems[name].predict(branch, "_branch", f"_{name}").drop("_branch")
-    out = out.withColumn("licenses", decide(F.col("_words"), F.col("route"), F.col("_SP"), F.col("_MP")))
-    if isinstance(model, FamilyLicenseModel):
-        refined = {}
-        for i, family in enumerate(model.families):
-            wanted = F.array_contains("licenses", family)
-            branch = out.withColumn("_branch", F.when(wanted, F.col("_words")).otherwise(nothing))
-            out = model.problems[family].predict(branch, "_branch", f"_family{i}").drop("_branch")
-            refined[family] = F.col(f"_family{i}")
-        out = out.withColumn("licenses", refine(F.col("licenses"), refined))
+    counted = add_counts(df.withColumn("_words", F.coalesce(F.col(words), nothing)), terms, "_words", "_counts")
+    found = counted.withColumn("_found", routed_classes(counted, "_counts", blocks, follow))
+
+    def named(b: int) -> Column:
+        classes = F.array(*map(F.lit, model.problems[names[b]].classes))
+        return F.transform(F.get("_found", F.lit(b)), lambda i: F.get(classes, i))
+
+    out = found.withColumn("route", F.when(has_words, F.get(named(0), F.lit(0))))
+    out = out.withColumn("licenses", decide(F.col("_words"), F.col("route"), named(1), named(2)))
+    if len(names) > 3:
+        out = out.withColumn("licenses", refine(F.col("licenses"), {names[b]: named(b) for b in range(3, len(names))}))
     return out.select(*df.columns, "route", "licenses")
 
 

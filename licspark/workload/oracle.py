@@ -371,14 +371,15 @@ sql(
 sql("string_literals", "SELECT path, line, body FROM strings", CODE, *comment_ctes())
 sql("block_comments", "SELECT path, start_line, end_line, body FROM comments", CODE, *comment_ctes())
 sql("collapsed_comments", "SELECT path, start_line, end_line, body FROM merged", CODE, *comment_ctes())
-sql(
-    "segments_all",
+SEGMENTS_ALL = (
     """SELECT path, CAST(place AS INT) AS no, seg_type,
       CASE WHEN start_line <> end_line THEN concat(start_line, '~', end_line) ELSE CAST(end_line AS VARCHAR) END AS lines,
       start_line <> end_line AS is_multiline, body FROM ordered""",
     CODE,
     *comment_ctes(),
 )
+sql("segments_all", *SEGMENTS_ALL)
+sql("chunked_segments", *SEGMENTS_ALL)
 
 # ------------------------------------------------------------------- comments
 

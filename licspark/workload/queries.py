@@ -11,6 +11,7 @@ from licspark.functions import filetypes, names, ngrams, segments, text, tokens,
 from licspark.functions.porter import stem_tokens
 from licspark.operators import (
     analysis,
+    chunked,
     convert,
     evaluation,
     features,
@@ -373,6 +374,16 @@ def segments_all(spark, sf_dir):
     )
 
 
+@query
+def chunked_segments(spark, sf_dir):
+    """The same for files cut into chunks of seven lines, as files too large for a row are."""
+    files = inputs.code_files(spark, sf_dir)
+    chunks = chunked.line_chunks(files, text.stripped_lines(F.col("content")), 7, ["path", "file_type"])
+    found = chunked.chunked_segments(chunks)
+    segment = F.struct("start_line", "end_line")
+    return found.select("path", "no", "seg_type", segments.line_range(segment).alias("lines"), segments.is_multiline(segment).alias("is_multiline"), "body")
+
+
 @query
 def markup_segments(spark, sf_dir):
     found = segments.segments(F.col("content"), F.col("file_type"))

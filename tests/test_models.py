@@ -264,7 +264,7 @@ def test_batch_decisions_are_those_of_single_rows():
     idf, coefficients, intercepts = rng.random(30) + 1, rng.normal(size=(4, 30)), rng.normal(size=4)
     links = np.tril(rng.normal(size=(4, 4)), -1)
     rows = [SparseVector(30, sorted(rng.choice(30, n, replace=False).tolist()), rng.integers(1, 9, n)) for n in (0, 1, 5, 12, 30)]
-    got = vectors.margins([r.indices for r in rows], [r.values for r in rows], idf, coefficients, intercepts)
+    got = vectors.margins(*vectors.flat([r.indices for r in rows], [r.values for r in rows]), idf, coefficients, intercepts)
     single, chain = vectors.decided(got, None), vectors.decided(got, links)
     for row, margin, best, flagged in zip(rows, got, single, chain):
         x = np.zeros(30)
