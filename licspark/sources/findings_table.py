@@ -1,58 +1,129 @@
 """Converted findings as a stored table that new findings are merged into bucket by bucket.
 
-Files are dealt to BUCKETS by a hash of (kind, path). Each batch of new findings
-rewrites the buckets it touches, whole, under its own batch number: a batch that
-runs again overwrites itself, and the newest version of each bucket is the table.
+Rows are dealt to buckets by a hash of (kind, path), and the number of buckets follows the
+stored bytes by linear hashing: a table with n buckets grows by splitting one bucket at a
+time, the others stay as they are. A batch reads and rewrites, whole, the buckets that its
+findings or a split touch. It writes them as Hive partitions below a folder of its own, named by the batch and
+the number of buckets, which counts from the moment Spark has marked it as finished; so a
+batch that runs again overwrites itself, and reads what was there before it. Versions
+older than the one before the newest are removed by the next batch.
 """
 
-from pyspark.errors import AnalysisException
+import re
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from licspark.operators.convert import typed_findings, upsert_findings
 
-BUCKETS = 64
-SCHEMA = "kind string, path string, licenses array<string>, remove boolean, indirect boolean, text string, seq long, batch long, bucket int"
+#: A bucket's bytes, on average, at which the table grows.
+BUCKET_BYTES = 128 << 20
+#: Bytes that one writing task gets of a bucket.
+TASK_BYTES = 32 << 20
+SCHEMA = "kind string, path string, licenses array<string>, remove boolean, indirect boolean, text string, seq long"
+_FOLDER = re.compile(r"/batch=(\d+),buckets=(\d+)/bucket=(\d+)/[^/]+$")
+
+
+class Merge(NamedTuple):
+    """What a batch did: buckets before and after, buckets rewritten, bytes of their old and new versions."""
+
+    batch: int
+    buckets_before: int
+    buckets: int
+    touched: int
+    bytes_read: int
+    bytes_written: int
+
+
+class _Stored:
+    """The versions of a table, from the names and sizes of its files."""
+
+    def __init__(self, spark: SparkSession, path: str, before: int | None = None):
+        context = spark.sparkContext
+        self.root = context._jvm.org.apache.hadoop.fs.Path(path)
+        self.files = self.root.getFileSystem(context._jsc.hadoopConfiguration())
+        make = context._jvm.org.apache.hadoop.fs.Path
+        done = {}
+        for status in self.files.globStatus(make(self.root, "batch=*/_SUCCESS")) or []:
+            name = status.getPath().getParent().getName()
+            batch, buckets = map(int, re.findall(r"\d+", name))
+            if before is None or batch < before:
+                done[batch] = (name, buckets)
+        #: number of buckets after the newest batch; 0 without any
+        self.buckets = done[max(done)][1] if done else 0
+        #: bucket -> {batch: bytes}
+        self.versions: dict[int, dict[int, int]] = {}
+        self.names = {batch: name for batch, (name, _) in done.items()}
+        for status in self.files.globStatus(make(self.root, "batch=*/bucket=*/*.parquet")) or []:
+            batch, _, bucket = map(int, _FOLDER.search(status.getPath().toString()).groups())
+            if batch in done:
+                of_bucket = self.versions.setdefault(bucket, {})
+                of_bucket[batch] = of_bucket.get(batch, 0) + status.getLen()
+
+    def folder(self, bucket: int, batch: int) -> str:
+        return f"{self.root.toString()}/{self.names[batch]}/bucket={bucket}"
+
+    def newest(self, buckets=None) -> dict[int, int]:
+        """Newest batch of each bucket, or of the given ones."""
+        return {b: max(v) for b, v in self.versions.items() if buckets is None or b in buckets}
+
+    def size(self, buckets=None) -> int:
+        return sum(self.versions[b][n] for b, n in self.newest(buckets).items())
+
+    def remove_old(self) -> None:
+        """Delete all but the newest two versions of each bucket."""
+        for bucket, versions in self.versions.items():
+            for batch in sorted(versions)[:-2]:
+                self.files.delete(self.root.suffix(f"/{self.names[batch]}/bucket={bucket}"), True)
+
+
+def bucket_of(buckets: int) -> Column:
+    """Bucket of (kind, path) in a table of this many buckets."""
+    value = F.shiftrightunsigned(F.xxhash64("kind", "path"), 1)
+    level = 1 << (buckets.bit_length() - 1)
+    wide = value % F.lit(2 * level)
+    return F.when(wide < buckets, wide).otherwise(value % F.lit(level)).cast("int")
+
+
+def split_sources(before: int, after: int) -> set[int]:
+    """Buckets whose rows may move when a table grows from `before` to `after` buckets."""
+    found = set()
+    for bucket in range(before, after):
+        while bucket >= before:
+            bucket -= 1 << (bucket.bit_length() - 1)
+        found.add(bucket)
+    return found
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("kind", "path"), F.lit(BUCKETS)).cast("int")
+def current_findings(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Files of the newest version of each bucket, or of the newest before a batch; no other folder is read."""
+    return _read(spark, _Stored(spark, path, before))
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(SCHEMA).parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], SCHEMA)
+def _read(spark: SparkSession, stored: _Stored, buckets=None) -> DataFrame:
+    folders = [stored.folder(b, n) for b, n in sorted(stored.newest(buckets).items())]
+    return spark.read.schema(SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], SCHEMA)
 
 
-def current_findings(spark: SparkSession, path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-    """Files of the newest version of each bucket (of the given ones), or of the newest before a batch.
+def merge_into(path: str, raw: DataFrame, batch: int, registry: DataFrame | None = None, bucket_bytes: int = BUCKET_BYTES) -> Merge:
+    """Merge raw findings into the table as batch number ``batch``; only touched buckets are read and written.
 
-    Both conditions are on partition columns, so other versions and buckets are not read.
+    The table at most doubles its buckets in a batch, towards ``bucket_bytes`` each. An
+    empty batch touches nothing unless a bucket is to be split.
     """
-    stored = _stored(spark, path)
-    if before is not None:
-        stored = stored.where(F.col("batch") < before)
-    if buckets is not None:
-        stored = stored.where(F.col("bucket").isin(buckets))
-    newest = stored.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()
-    wanted = F.lit(False)
-    for row in newest:
-        wanted |= (F.col("bucket") == row.bucket) & (F.col("batch") == row.batch)
-    return stored.where(wanted).drop("batch", "bucket")
-
-
-def merge_into(path: str, raw: DataFrame, batch: int, registry: DataFrame | None = None) -> None:
-    """Merge raw findings into the table as batch number ``batch``; only touched buckets are read and written."""
     spark = raw.sparkSession
-    raw = raw.persist()
-    try:
-        touched = sorted(r.bucket for r in typed_findings(raw, registry).select(_bucket().alias("bucket")).distinct().collect())
-        files = current_findings(spark, path, batch, touched)
-        merged = upsert_findings(files, raw, registry).withColumn("bucket", _bucket())
-        target = f"{path}/batch={batch}"
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
-    finally:
-        raw.unpersist()
+    stored = _Stored(spark, path, batch)
+    stored.remove_old()
+    before = max(1, stored.buckets)
+    after = max(before, min(2 * before, -(-stored.size() // bucket_bytes)))
+    new = typed_findings(raw, registry).where("kind is not null and path is not null")
+    touched = {r.bucket for r in new.select(bucket_of(before).alias("bucket")).distinct().collect()} | split_sources(before, after)
+    merged = upsert_findings(_read(spark, stored, touched), raw, registry).withColumn("bucket", bucket_of(after))
+    # a bucket is written by as many tasks as its bytes ask for, a few buckets by all cores
+    many, cores = max(1, len(touched)), spark.sparkContext.defaultParallelism
+    share = max(-(-stored.size(touched) // (many * TASK_BYTES)), -(-cores // many))
+    target = f"{path}/batch={batch},buckets={after}"
+    dealt = merged.repartition(max(cores, many * share), "bucket", F.pmod(F.hash("path"), F.lit(int(share))))
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(target)
+    written = stored.files.getContentSummary(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)).getLength()
+    return Merge(batch, stored.buckets, after, len(touched), stored.size(touched), written)

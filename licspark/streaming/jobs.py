@@ -5,7 +5,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from licspark.plans.model import LicenseModel
 from licspark.plans.predict import predict_contents
-from licspark.sources.findings_table import merge_into
+from licspark.sources.findings_table import BUCKET_BYTES, merge_into
 
 
 #: Stop when all data that is there has been read; pass ``{"processingTime": "1 minute"}`` to run on.
@@ -36,13 +36,18 @@ def _append_changes(path: str):
     return write
 
 
-def stream_findings(raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def stream_findings(
+    raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, bucket_bytes: int = BUCKET_BYTES
+) -> StreamingQuery:
     """Convert arriving findings and merge them into the stored table at ``path``.
 
     The table is the only state: a batch reads and rewrites the buckets it touches
     (``sources.findings_table.current_findings`` reads the result).
     """
-    merge = lambda batch, batch_id: merge_into(path, batch, batch_id)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        merge_into(path, batch, batch_id, bucket_bytes=bucket_bytes)
+
     return _started(raw.writeStream.foreachBatch(merge), checkpoint, trigger)
 
 

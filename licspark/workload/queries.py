@@ -35,6 +35,8 @@ SAMPLE_CAP = 200
 #: Iterations of the fits that run label after label; see the README for what all 50 cost.
 CHAIN_ITERATIONS = 5
 MIN_SAMPLES = 100
+#: Small enough that the findings table splits its buckets between the batches of these queries.
+BUCKET_BYTES = 64 << 10
 QUERIES = {}
 
 
@@ -125,8 +127,8 @@ def incremental_upsert(spark, sf_dir):
     raw = inputs.raw_findings(spark, sf_dir)
     is_old = F.col("seq") % 3 != 0
     path = new_table_path(spark, "upsert")
-    findings_table.merge_into(path, raw.where(is_old), 0)
-    findings_table.merge_into(path, raw.where(~is_old), 1)
+    findings_table.merge_into(path, raw.where(is_old), 0, bucket_bytes=BUCKET_BYTES)
+    findings_table.merge_into(path, raw.where(~is_old), 1, bucket_bytes=BUCKET_BYTES)
     return _file_rows(findings_table.current_findings(spark, path))
 
 
@@ -885,7 +887,7 @@ def stream_findings(spark, sf_dir):
     raw = spark.sql(
         inputs.raw_findings_sql(inputs.SPARK).replace("FROM lineitem", "FROM {lineitem}"), lineitem=lines
     )
-    jobs.stream_findings(raw, f"{path}/table", f"{path}/state").awaitTermination()
+    jobs.stream_findings(raw, f"{path}/table", f"{path}/state", bucket_bytes=BUCKET_BYTES).awaitTermination()
     return _file_rows(findings_table.current_findings(spark, f"{path}/table"))
 
 

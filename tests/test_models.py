@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from licspark import fixed_values as fv
-from licspark.operators import evaluation, features, models, scoring, vectors
+from licspark.operators import convert, evaluation, features, models, scoring, vectors
 from licspark.plans import predict
 from licspark.plans import model as model_plan
 from licspark.plans.train import train
@@ -242,7 +242,47 @@ def test_streams_in_many_batches(spark, tmp_path, model):
         findings_table.merge_into(log, again, 7)
     now = {r.path: r.licenses for r in findings_table.current_findings(spark, log).collect()}
     assert now == {f"p{i}": ["L0", "L1", "L2"] + ["L9"] * (i == 1) for i in range(5)}
-    assert len(list((tmp_path / "log" / "batch=7").glob("bucket=*"))) == 1
+    assert len(list((tmp_path / "log" / "batch=7,buckets=1").glob("bucket=*"))) == 1
+
+
+def test_findings_table_grows_by_splits(spark, tmp_path):
+    """The table after every batch equals one conversion of all findings so far; splits leave other buckets alone."""
+    path, schema = str(tmp_path / "table"), "seq long, path string, source string, licenses array<string>, text string"
+    rows, buckets = [], 1
+    for batch in range(6):
+        fresh = [(batch * 1000 + i, f"p{(batch * 37 + i * 7) % 400}", "CONCLUSION" if i % 3 else "BULK", [f"L{i % 11}"], "t" * 50) for i in range(150)]
+        rows += fresh
+        done = findings_table.merge_into(path, spark.createDataFrame(fresh, schema), batch, bucket_bytes=4000)
+        assert done.buckets <= 2 * buckets and done.bytes_written > 0
+        buckets = done.buckets
+        want = {tuple(r) for r in convert.convert_findings(spark.createDataFrame(rows, schema)).select("kind", "path", F.array_join("licenses", "|"), "seq").collect()}
+        now = findings_table.current_findings(spark, path)
+        assert {tuple(r) for r in now.select("kind", "path", F.array_join("licenses", "|"), "seq").collect()} == want and now.count() == len(want)
+    assert buckets > 4
+    # of each bucket only the newest version and those that the last batch found before it are left
+    stored = findings_table._Stored(spark, path)
+    assert set(stored.versions) == set(range(buckets)) and max(map(len, stored.versions.values())) <= 3
+    one = findings_table.merge_into(path, spark.createDataFrame([(9999, "p1", "CONCLUSION", ["new"], None)], schema), 6, bucket_bytes=10**9)
+    assert one.touched == 1 and one.bytes_written < stored.size() / 2
+    # a batch that did not finish does not count
+    (tmp_path / "table" / f"batch=6,buckets={buckets}" / "_SUCCESS").unlink()
+    assert findings_table.current_findings(spark, path).where("array_contains(licenses, 'new')").count() == 0
+
+
+def test_buckets_of_a_growing_table(spark):
+    rows = spark.range(2000).select(F.lit("k").alias("kind"), F.concat(F.lit("p"), "id").alias("path"))
+    for n in range(1, 20):
+        moved = rows.select(findings_table.bucket_of(n).alias("a"), findings_table.bucket_of(n + 1).alias("b")).where("a <> b").distinct().collect()
+        assert {r.a for r in moved} == findings_table.split_sources(n, n + 1) and {r.b for r in moved} == {n}
+
+
+def test_running_counts(spark, tmp_path, model):
+    source = tmp_path / "in"
+    schema = "seq long, path string, source string, licenses array<string>, text string"
+    rows = [(i, f"p{i % 5}", "CONCLUSION", [f"L{i % 3}"], None) for i in range(30)]
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], schema).coalesce(1).write.mode("append").json(str(source))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
 
     counts = str(tmp_path / "counts")
     keyed = stream.select("path", F.explode("licenses").alias("license"))
