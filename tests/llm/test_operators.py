@@ -537,3 +537,39 @@ def test_registered_rows(spark, sf_dir, name):
     table = "pages" if name.startswith("op3") else "documents"
     rows = queries.QUERIES[name](spark, sf_dir).select("page_id" if table == "pages" else "doc_id").distinct().count()
     assert rows == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><form id='aspnetForm'><article><p>the story</p></article><input></form></body>", "the story"),
+        ("<article><div class='market-share'><p>shares fell</p></div><p>a <span class='search-term'>word</span> here</p></article>", "shares fell\n\na word here"),
+        ("<article><p>read this</p></article><div><p>" + "a long open text. " * 30 + "</p></div>", "read this\n\n" + ("a long open text. " * 30).strip()),
+        ("<article><p>story</p><div class='newsletter-box'><p>join us</p></div><div class='share'>tell</div></article>", "story"),
+        ("<form><p>" + "text of a page in one form. " * 30 + "</p></form>", ("text of a page in one form. " * 30).strip()),
+        ("<form><p>your name</p></form><p>some open words</p>", "some open words"),
+        ("<article><p>" + "word " * 200 + "</p></article><p>" + "open words " * 300 + "</p>", ("word " * 200).strip()),
+    ],
+)
+def test_wrappers_names_and_teasers(spark, page, text):
+    frame = spark.createDataFrame([(1, "http://a.org/x", page)], "page_id long, url string, html string")
+    assert host_suffixes.extract_main_text(frame).first().text == text
+
+
+def test_blocks_of_a_site_go_and_shared_passages_stay(spark):
+    """A paragraph in most articles of a host is the site's; copies, quotes and small hosts lose nothing."""
+    letter, quote = "Subscribe to our weekly letter for free today", "A passage that several articles of all hosts share in full"
+    rows, want = [], {}
+    for host, n in (("big.org", 12), ("small.org", 3)):
+        for k in range(n):
+            own = [f"{host} article {k} has a paragraph {j} with words of its own" for j in range(4)]
+            blocks = own + [letter] + ([quote] if k % 3 == 0 else [])
+            number = len(rows)
+            rows.append((number, f"http://{host}/{k}", "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"))
+            want[number] = "\n\n".join(b for b in blocks if host != "big.org" or b != letter)
+    copy = "<article><p>one copied article of a few words in all</p><p>and its second paragraph of some words</p><p>with a third one that ends it here</p></article>"
+    for k in range(20):
+        rows.append((100 + k, "http://copies.org/x", copy))
+        want[100 + k] = "one copied article of a few words in all\n\nand its second paragraph of some words\n\nwith a third one that ends it here"
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r.page_id: r.text for r in host_suffixes.extract_main_text(frame).collect()} == want
