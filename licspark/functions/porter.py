@@ -1,13 +1,16 @@
-"""Suffix stripping after M. F. Porter (1980), for arrays of tokens.
+"""Suffix stripping after M. F. Porter (1980), for arrays of tokens and for tables of words.
 
-Written from the published rules. Each Arrow batch is reduced to its distinct
-tokens first, so a word is stemmed once per batch however often it occurs.
+Written from the published rules. For arrays, each Arrow batch is reduced to its distinct
+tokens first, so a word is stemmed once per batch however often it occurs. For a table
+with a word per row the same rules are SQL expressions (`stem_layers`), so no Python runs:
+the shape of a word has V for each vowel and c for each other sign, and the measure of a
+stem is the number of times that "Vc" stands in the beginning of the shape.
 """
 
 import re
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 _VOWEL = "(?:[aeiou]|(?<=[^aeiou])y)"
 _MEASURE = re.compile(f"{_VOWEL}+(?:(?!{_VOWEL}).)+")
@@ -89,3 +92,83 @@ def stem_tokens(tokens):
         return batch.map(lambda row: None if row is None else [known[t] for t in row])
 
     return stems(tokens)
+
+
+def _left(n: int, of: str = "w") -> str:
+    return f"substr({of}, 1, length(w) - {n})"
+
+
+def _sql_measure(n: int, least: int) -> str:
+    """Whether the word without its last n signs has a measure over ``least`` (0 or 1)."""
+    return f"{_left(n, 'shape')} LIKE '{'%Vc' * (least + 1)}%'"
+
+
+def _sql_cvc(word: str, shape: str) -> str:
+    return f"{shape} LIKE '%cVc' AND right({word}, 1) NOT IN ('w', 'x', 'y')"
+
+
+def _sql_replace(table: dict[str, str], least: int) -> str:
+    """The longest suffix of the table is replaced if the measure of the stem is over ``least``."""
+    cases = []
+    for suffix in sorted(table, key=len, reverse=True):
+        n = len(suffix)
+        allowed = _sql_measure(n, least)
+        if suffix == "ion":
+            allowed += f" AND right({_left(n)}, 1) IN ('s', 't')"
+        cases.append(f"WHEN length(w) > {n} AND w LIKE '%{suffix}' THEN CASE WHEN {allowed} THEN concat({_left(n)}, '{table[suffix]}') ELSE w END")
+    return f"CASE {' '.join(cases)} ELSE w END"
+
+
+def stem_layers(word: str, everywhere: str = "") -> list[dict[str, str]]:
+    """SQL expressions that stem a column of words, as layers of named columns; each layer reads the columns of the one before.
+
+    The last layer has ``word`` and ``stem``. ``everywhere`` is the last argument of
+    regexp_replace in a dialect that does not replace all matches by itself.
+    """
+    marked = "w"
+    for vowel in "aeiou":  # a y after one of these is no vowel, nor is the first sign
+        marked = f"replace({marked}, '{vowel}y', '{vowel}#')"
+    marked = f"CASE WHEN w LIKE 'y%' THEN concat('#', substr({marked}, 2)) ELSE {marked} END"
+    shape = f"regexp_replace(translate({marked}, 'aeiouy', 'VVVVVV'), '[^V]', 'c'{everywhere})"
+    keep = {word: word}
+    layers = [keep | {"w": word}]
+
+    def then(expression: str, **more: str) -> None:
+        layers.append(keep | {"w": expression} | more)
+
+    def shaped() -> None:
+        layers.append(keep | {"w": "w", "shape": shape})
+
+    then(f"CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN {_left(2)} WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN {_left(1)} ELSE w END")
+    shaped()
+    cut = " ".join(f"WHEN w LIKE '%{end}' AND {_left(len(end), 'shape')} LIKE '%V%' THEN {len(end)}" for end in ("ed", "ing"))
+    layers.append(keep | {"w": "w", "shape": "shape", "cut": f"CASE WHEN w LIKE '%eed' THEN 0 {cut} ELSE 0 END"})
+    layers.append(keep | {"w": "w", "shape": "shape", "cut": "cut", "trunk": "substr(w, 1, length(w) - cut)", "trunk_shape": "substr(shape, 1, length(w) - cut)"})
+    double = "right(trunk, 1) = substr(trunk, length(trunk) - 1, 1) AND length(trunk) > 1 AND right(trunk, 1) NOT IN ('a', 'e', 'i', 'o', 'u', 'y', 'l', 's', 'z')"
+    then(
+        f"CASE WHEN w LIKE '%eed' THEN CASE WHEN {_sql_measure(3, 0)} THEN {_left(1)} ELSE w END WHEN cut = 0 THEN w "
+        "WHEN trunk LIKE '%at' OR trunk LIKE '%bl' OR trunk LIKE '%iz' THEN concat(trunk, 'e') "
+        f"WHEN {double} THEN substr(trunk, 1, length(trunk) - 1) "
+        f"WHEN trunk_shape LIKE '%Vc%' AND trunk_shape NOT LIKE '%Vc%Vc%' AND {_sql_cvc('trunk', 'trunk_shape')} THEN concat(trunk, 'e') ELSE trunk END"
+    )
+    shaped()
+    then(f"CASE WHEN w LIKE '%y' AND {_left(1, 'shape')} LIKE '%V%' THEN concat({_left(1)}, 'i') ELSE w END")
+    for table, least in ((_STEP2, 0), (_STEP3, 0), (_STEP4, 1)):
+        shaped()
+        then(_sql_replace(table, least))
+    shaped()
+    one = f"({_sql_measure(1, 0)} AND NOT ({_sql_cvc(_left(1), _left(1, 'shape'))}))"
+    then(f"CASE WHEN w LIKE '%e' AND ({_sql_measure(1, 1)} OR {one}) THEN {_left(1)} ELSE w END")
+    shaped()
+    then(f"CASE WHEN w LIKE '%ll' AND {_sql_measure(1, 1)} THEN {_left(1)} ELSE w END")
+    layers.append(keep | {"stem": f"CASE WHEN length({word}) <= 2 THEN {word} ELSE w END"})
+    return layers
+
+
+def add_stem(df: DataFrame, word: str) -> DataFrame:
+    """A table with a word per row and its ``stem``; the columns other than ``word`` travel along as one struct."""
+    rest = [c for c in df.columns if c != word]
+    carried = df.select(F.col(word).alias("_word"), F.struct(*rest, F.lit(0).alias("_")).alias("_rest"))
+    for layer in stem_layers("_word"):
+        carried = carried.selectExpr(*[f"{expression} AS {name}" for name, expression in layer.items()], "_rest")
+    return carried.select(F.col("_word").alias(word), *[F.col("_rest")[c].alias(c) for c in rest], "stem")

@@ -30,6 +30,28 @@ def linear_scores(features: DataFrame, weights: DataFrame, bias: DataFrame, key:
     )
 
 
+def chain_decisions(margins: DataFrame, labels: list[str], links: list[list[float]], key: str = "path") -> DataFrame:
+    """(key, labels): the labels that a classifier chain predicts from margins (key, label, score).
+
+    Label k is predicted when its margin plus ``links[k][j]`` of every predicted label j
+    before it is positive. The chain runs inside the row, over as many margins as there are
+    labels; labels without a margin and margins of other labels count nothing.
+    """
+    position = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("int") - 1
+    rows = margins.withColumn("_k", position).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.when(F.col("_k") >= 0, F.struct("_k", "score")))).alias("_margins")
+    )
+    weights = F.array(*[F.array(*map(F.lit, map(float, row))) for row in links])
+
+    def step(found, m):
+        before = F.aggregate(found, F.lit(0.0), lambda total, j: total + F.get(F.get(F.col("_links"), m["_k"]), j))
+        return F.when(m["score"] + before > 0, F.concat(found, F.array(m["_k"]))).otherwise(found)
+
+    predicted = F.aggregate("_margins", F.array().cast("array<int>"), step)
+    names = F.array(*map(F.lit, labels))
+    return rows.withColumn("_links", weights).select(key, F.transform(predicted, lambda k: F.get(names, k)).alias("labels"))
+
+
 def best_label(scores: DataFrame, key: str = "path") -> DataFrame:
     """Label with the highest score; the first by name on ties."""
     best = F.min_by("label", F.struct(-F.col("score"), F.col("label")))

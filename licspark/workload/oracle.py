@@ -5,6 +5,7 @@ example, is a window recipe over exploded lines here, and in-row there.
 """
 
 from licspark import fixed_values as fv
+from licspark.functions.porter import stem_layers
 from licspark.functions.tokens import STOP_WORDS
 from licspark.workload import inputs
 from licspark.workload.inputs import DUCKDB
@@ -571,6 +572,13 @@ sql(
       '[\\p{{L}}\\p{{Nd}}][\\p{{L}}\\p{{Nd}}._''/+\\-]*[\\p{{L}}\\p{{Nd}}]|[\\p{{L}}\\p{{Nd}}]|[^\\s\\x0b]'),
       lambda t: regexp_replace(lower(t), '[^0-9a-zA-Z.]', '', 'g')) AS tokens FROM documents)""",
 )
+_stems = [f"""stems0 AS MATERIALIZED (SELECT t AS token, count(*) AS n FROM (SELECT unnest(list_filter(list_transform(regexp_extract_all(text,
+      '[\\p{{L}}\\p{{Nd}}][\\p{{L}}\\p{{Nd}}._''/+\\-]*[\\p{{L}}\\p{{Nd}}]|[\\p{{L}}\\p{{Nd}}]|[^\\s\\x0b]'),
+      lambda t: regexp_replace(lower(t), '[^0-9a-zA-Z.]', '', 'g')), lambda t: t <> '' AND t NOT IN ({_removed}))) AS t FROM documents) GROUP BY t)"""]
+for _layer in stem_layers("token", ", 'g'"):
+    _columns = ", ".join(f"{e} AS {n}" for n, e in _layer.items())
+    _stems.append(f"stems{len(_stems)} AS MATERIALIZED (SELECT {_columns}, n FROM stems{len(_stems) - 1})")
+ORACLES["stem_counts"] = f"WITH {', '.join(_stems)} SELECT stem, CAST(sum(n) AS BIGINT) AS n FROM stems{len(_stems) - 1} GROUP BY stem"
 DOC_TOKENS = (
     "doc_tokens",
     f"""SELECT path, lang, doc_id, words, unnest(words) AS token, generate_subscripts(words, 1) AS pos
@@ -829,6 +837,33 @@ sql(
     VOCAB,
     WEIGHTS,
 )
+sql(
+    "chain_decide",
+    f"""SELECT path, {joined("flags")} AS labels FROM (SELECT path, list('L' || k ORDER BY k) FILTER (found) AS flags FROM chain GROUP BY path)""",
+    DOC_TOKENS,
+    (
+        "margins",
+        """SELECT path, k, (k * 4 - 9) + sum(CASE WHEN length(token) <= 4 THEN (length(token) * (k + 3) + ascii(token)) % 7 - 3 ELSE 0 END) AS m
+        FROM doc_tokens CROSS JOIN (SELECT unnest(range(6)) AS k) GROUP BY path, k""",
+    ),
+    (
+        "places",
+        """SELECT path, list(m ORDER BY k) AS ms FROM margins GROUP BY path""",
+    ),
+    (
+        "steps",
+        """SELECT path, ms, 0 AS k, CAST([] AS BIGINT[]) AS found FROM places""",
+    ),
+    *[
+        (
+            f"steps{k + 1}",
+            f"""SELECT path, ms, CASE WHEN ms[{k + 1}] + coalesce(list_sum(list_transform(found, lambda j: (({k} * 5 + j * 3) % 7 - 3) * 8)), 0) > 0
+              THEN list_append(found, {k}) ELSE found END AS found FROM steps{k or ''}""",
+        )
+        for k in range(6)
+    ],
+    ("chain", "SELECT path, k, list_contains(found, k) AS found FROM steps6 CROSS JOIN (SELECT unnest(range(6)) AS k)"),
+)
 sql(
     "route_predict",
     f"""SELECT path, CASE WHEN doc_id % 17 = 0 THEN 'unclassified license'

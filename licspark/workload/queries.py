@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from licspark import fixed_values as fv
 from licspark.functions import comments as cm
 from licspark.functions import filetypes, names, ngrams, segments, text, tokens, words
-from licspark.functions.porter import stem_tokens
+from licspark.functions.porter import add_stem
 from licspark.operators import (
     analysis,
     chunked,
@@ -488,7 +488,7 @@ def stem_counts(spark, sf_dir):
     """Tokens are counted first, so that each distinct one is stemmed once."""
     files = inputs.text_files(spark, sf_dir)
     counts = files.select(F.explode(tokens.unstemmed_tokens(F.col("content"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    return counts.groupBy(F.get(stem_tokens(F.array("token")), F.lit(0)).alias("stem")).agg(F.sum("n").alias("n"))
+    return add_stem(counts, "token").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 @query
@@ -788,6 +788,21 @@ def _model(spark, sf_dir):
     return train.train(files, _training_licenses(files), max_samples=SAMPLE_CAP, families=("HPND",), max_iter=CHAIN_ITERATIONS)
 
 
+@query
+def chain_decide(spark, sf_dir):
+    """Decisions of a chain of six yes/no labels over all documents, with a fixed table of weights, links and biases."""
+    docs = _documents(spark, sf_dir)
+    x = docs.select("path", F.explode("words").alias("term")).groupBy("path", "term").agg(F.count("*").alias("x"))
+    labels = spark.range(6).select(F.concat(F.lit("L"), "id").alias("label"), F.col("id").cast("int").alias("k"))
+    terms = x.select("term").distinct().where(F.length("term") <= 4).crossJoin(F.broadcast(labels))
+    w = ((F.length("term") * (F.col("k") + 3) + F.ascii("term")) % 7 - 3).cast("double")
+    bias = labels.select("label", "k", (F.col("k") * 4 - 9).cast("double").alias("b"))
+    margins = scoring.linear_scores(x, scoring.per_term(terms.select("term", "label", w.alias("w"))), bias.select("label", "b"))
+    links = [[float((k * 5 + j * 3) % 7 - 3) * 8 for j in range(6)] for k in range(6)]
+    decided = scoring.chain_decisions(margins, [f"L{k}" for k in range(6)], links)
+    return decided.select("path", joined("labels").alias("labels"))
+
+
 @query
 def corpus_scan(spark, sf_dir):
     """Train on the documents, then predict every conversation turn in one pass."""

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from licspark import fixed_values as fv
+from licspark.operators import scoring
 from licspark.operators.models import Problem
 from licspark.plans import predict
 from licspark.plans.model import FamilyLicenseModel, LicenseModel
@@ -63,3 +64,20 @@ def test_one_counting_and_one_python_step(spark, model):
     docs = spark.createDataFrame([("a", ["a", "b"])], "path string, words array<string>")
     plan = predict.predict_words(docs, model)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_chain_decisions_against_a_loop(spark):
+    rng = np.random.default_rng(3)
+    labels = ["a", "b", "c", "d"]
+    links = np.tril(rng.normal(size=(4, 4)) * 3, -1)
+    scores = rng.normal(size=(200, 4))
+    rows = [(str(k), l, float(s)) for k, row in enumerate(scores) for l, s in zip(labels, row)] + [("other", "zz", 9.0), ("some", "b", 1.0), ("null", None, 2.0)]
+    table = spark.createDataFrame(rows, "path string, label string, score double").repartition(3)
+    want = {"other": [], "null": [], "some": ["b"]}
+    for k, row in enumerate(scores):
+        found = []
+        for j in range(4):
+            if row[j] + sum(links[j][i] for i in found) > 0:
+                found.append(j)
+        want[str(k)] = [labels[j] for j in found]
+    assert {r.path: r.labels for r in scoring.chain_decisions(table, labels, links.tolist()).collect()} == want

@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from licspark.functions import names, tokens, words
 from licspark.functions.ngrams import term_counts, word_ngrams
-from licspark.functions.porter import stem
+from licspark.functions.porter import add_stem, stem
 from licspark.operators.words import add_words, lemmatize
 
 SENTENCE = "This is a sample sentence with @ $characters -_). This is my second !@#$%^&&*()_. AND third"
@@ -73,6 +75,17 @@ def test_porter(word, want):
     assert stem(word) == want
 
 
+def test_stems_of_a_table_equal_those_of_arrays(spark):
+    rng = random.Random(1)
+    parts = "a e i o u y b c d l s t z w x n r at bl iz ed ing eed s es ies sses ational tion ence izer al ful ness ive ement ion ll e 1 . é".split()
+    words = sorted({"".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(3000)} | {"", "yes", "yyed", "toyed", "ing", "nion", "sation"})
+    table = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "token string, w long")
+    stems = add_stem(table, "token")
+    assert stems.columns == ["token", "w", "stem"]
+    assert {r.token: r.stem for r in stems.collect()} == {w: stem(w) for w in words}
+    assert "Python" not in stems._jdf.queryExecution().executedPlan().toString()
+
+
 def test_related_text(spark):
     literals = ["a License", "b", "(C) me", "COPYRIGHT", "public  domain", "public domain"]
     df = spark.createDataFrame([(literals,)], "l array<string>")
