@@ -11,6 +11,24 @@ def read_raw_findings(spark: SparkSession, path: str, format: str = "json") -> D
     return spark.read.schema(RAW_FINDINGS).format(format).load(path)
 
 
+def read_checked_findings(spark: SparkSession, path: str) -> DataFrame:
+    """Raw findings of JSON lines, with ``damaged``: the text of a line that is no finding, else null."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "damaged"}
+    parsed = F.from_json("value", f"{RAW_FINDINGS}, damaged string", options)
+    return spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("row")).select("row.*")
+
+
+def sound_findings(checked: DataFrame) -> DataFrame:
+    """The findings that were read whole."""
+    return checked.where(F.col("damaged").isNull()).drop("damaged")
+
+
+def damaged_lines(checked: DataFrame) -> DataFrame:
+    """Lines for the quarantine, with their text: (path, source, problem, line)."""
+    known = checked.where(F.col("damaged").isNotNull())
+    return known.select("path", "source", F.lit("damaged line").alias("problem"), F.col("damaged").alias("line"))
+
+
 def is_scanner(source: Column) -> Column:
     return source.isin(*fv.SCANNERS)
 

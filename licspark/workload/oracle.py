@@ -87,6 +87,15 @@ sql(
     RAW,
     TYPED,
 )
+sql(
+    "raw_findings_damaged",
+    """SELECT CASE WHEN seq % 13 <> 0 THEN path END AS path, CASE WHEN seq % 13 <> 0 THEN source END AS source,
+      CASE WHEN seq % 13 = 0 THEN 'damaged line' END AS problem,
+      CASE WHEN seq % 13 = 0 THEN concat('{"seq":', seq, ',"path":"', path)
+        ELSE array_to_string(list_concat([CAST(seq AS VARCHAR)], licenses, [text]), '|') END AS line
+    FROM raw""",
+    RAW,
+)
 sql("kind_counts", "SELECT kind, count(*) AS n FROM files GROUP BY kind", RAW, TYPED, FILES)
 sql(
     "findings_registry_join",

@@ -105,6 +105,19 @@ def findings_quarantine(spark, sf_dir):
     return bad.select("path", "source", "problem")
 
 
+@query
+def raw_findings_damaged(spark, sf_dir):
+    """Findings as JSON lines, every 13th cut off, read back: sound findings and the quarantined lines."""
+    raw = inputs.raw_findings(spark, sf_dir)
+    cut = F.concat(F.lit('{"seq":'), F.col("seq").cast("string"), F.lit(',"path":"'), "path")
+    path = new_table_path(spark, "lines")
+    raw.select(F.when(F.col("seq") % 13 == 0, cut).otherwise(F.to_json(F.struct(*raw.columns))).alias("value")).write.text(path)
+    checked = finding_source.read_checked_findings(spark, path)
+    sound = finding_source.sound_findings(checked).select("path", "source", F.lit(None).cast("string").alias("problem"), F.concat_ws("|", F.col("seq").cast("string"), "licenses", "text").alias("line"))
+    bad = finding_source.damaged_lines(checked).select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("source"), "problem", "line")
+    return sound.unionByName(bad)
+
+
 @query
 def csv_dump_findings(spark, sf_dir):
     rows = finding_source.parse_dump_lines(inputs.dump_lines(spark, sf_dir))

@@ -365,3 +365,12 @@ def test_predictions_as_json(spark, tmp_path):
     store.save_predictions(rows, str(tmp_path / "out"))
     lines = [line for f in (tmp_path / "out").glob("*.txt") for line in f.read_text().splitlines()]
     assert [json.loads(x) for x in lines] == [{"filename": "a/b.c", "licenses": ["MIT", "ISC"]}]
+
+
+def test_damaged_findings_keep_their_text(spark, tmp_path):
+    lines = ['{"seq": 1, "path": "a", "source": "CONCLUSION", "licenses": ["MIT"], "more": 1}', '{"seq": 2, "path": "b"', "no json", "", '{"seq": "x", "path": "c"}', "{}"]
+    (tmp_path / "lines.json").write_text("\n".join(lines))
+    checked = finding_source.read_checked_findings(spark, str(tmp_path / "lines.json"))
+    assert {(r.seq, r.path) for r in finding_source.sound_findings(checked).collect()} == {(1, "a"), (None, None)}
+    bad = finding_source.damaged_lines(checked).collect()
+    assert {r.line for r in bad} == {lines[1], lines[2], lines[4]} and {r.problem for r in bad} == {"damaged line"}
