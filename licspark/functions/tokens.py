@@ -67,3 +67,8 @@ def stemmed_tokens(text: Column) -> Column:
 
 # Token profiles by name; add a callable Column -> Column to extend.
 TOKEN_PROFILES = {"lemma": word_tokens, "stem": stemmed_tokens}
+
+
+def raw_profile(name: str):
+    """The profile without stemming, which depends on single tokens only and can be done per distinct token."""
+    return unstemmed_tokens if name == "stem" else TOKEN_PROFILES[name]

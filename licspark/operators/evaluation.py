@@ -14,6 +14,33 @@ def _compared(truth: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     )
 
 
+def figures(truth: DataFrame, predicted: DataFrame, key: str = "path") -> DataFrame:
+    """Everything the reports need, from one comparison and one grouping.
+
+    A row per label (``label``, tp, fp, fn), and one row for all documents (``documents``
+    is true): tp, fp and fn over all labels, n_docs, exact (sets that are right as a
+    whole), and the sums p, r, f of each document's own ratios. The
+    row of documents is missing if there are none. Store the table to make several reports.
+    """
+    zero, none = F.lit(0), F.lit(None).cast("string")
+
+    def row(documents, label, tp=zero, fp=zero, fn=zero, n=zero, exact=zero, ratios=(F.lit(0.0),) * 3):
+        whole = [c.cast("long").alias(n) for n, c in {"tp": tp, "fp": fp, "fn": fn, "n_docs": n, "exact": exact}.items()]
+        return F.struct(F.lit(documents).alias("documents"), label.alias("label"), *whole, *[c.alias(n) for n, c in zip("prf", ratios)])
+
+    one = F.lit(1)
+    hits, false, missed = F.array_intersect("actual", "guess"), F.array_except("guess", "actual"), F.array_except("actual", "guess")
+    sizes = [F.size(x) for x in (hits, false, missed)]
+    rows = F.concat(
+        F.array(row(True, none, *sizes, one, (F.col("actual") == F.col("guess")).cast("int"), _ratios(*sizes))),
+        F.transform(hits, lambda x: row(False, x, tp=one)),
+        F.transform(false, lambda x: row(False, x, fp=one)),
+        F.transform(missed, lambda x: row(False, x, fn=one)),
+    )
+    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn", "n_docs", "exact", "p", "r", "f")]
+    return _compared(truth, predicted, key).select(F.inline(rows)).groupBy("documents", "label").agg(*sums)
+
+
 def subset_accuracy(truth: DataFrame, predicted: DataFrame, key: str = "path") -> DataFrame:
     """Share of documents whose label set is exactly right."""
     exact = (F.col("actual") == F.col("guess")).cast("double")
@@ -22,26 +49,7 @@ def subset_accuracy(truth: DataFrame, predicted: DataFrame, key: str = "path") -
 
 def label_counts(truth: DataFrame, predicted: DataFrame, key: str = "path") -> DataFrame:
     """True positives, false positives and false negatives per label."""
-
-    def marks(labels, tp, fp, fn):
-        return F.transform(
-            labels,
-            lambda x: F.struct(
-                x.alias("label"), F.lit(tp).alias("tp"), F.lit(fp).alias("fp"), F.lit(fn).alias("fn")
-            ),
-        )
-
-    marked = F.concat(
-        marks(F.array_intersect("actual", "guess"), 1, 0, 0),
-        marks(F.array_except("guess", "actual"), 0, 1, 0),
-        marks(F.array_except("actual", "guess"), 0, 0, 1),
-    )
-    return (
-        _compared(truth, predicted, key)
-        .select(F.inline(marked))
-        .groupBy("label")
-        .agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
-    )
+    return figures(truth, predicted, key).where(~F.col("documents")).select("label", "tp", "fp", "fn")
 
 
 def _ratios(tp, fp, fn):
@@ -62,50 +70,33 @@ def class_report(truth: DataFrame, predicted: DataFrame, key: str = "path") -> D
 
 
 def report_averages(truth: DataFrame, predicted: DataFrame, key: str = "path") -> DataFrame:
-    """Micro, macro, weighted and per-sample averages as rows."""
-    counts = label_counts(truth, predicted, key)
-    p, r, f = _ratios(F.col("tp"), F.col("fp"), F.col("fn"))
-    support = F.col("tp") + F.col("fn")
-    rated = counts.select("tp", "fp", "fn", p.alias("p"), r.alias("r"), f.alias("f"), support.alias("support"))
-    mp, mr, mf = _ratios(F.sum("tp"), F.sum("fp"), F.sum("fn"))
-
-    def row(average, precision, recall, f1, support):
-        return F.struct(
-            F.lit(average).alias("average"), precision.alias("precision"), recall.alias("recall"),
-            f1.alias("f1"), support.alias("support"),
-        )
-
-    weighted = lambda c: F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support"))
-    total = F.sum("support")
-    per_label = rated.agg(
-        F.array(
-            row("micro", mp, mr, mf, total),
-            row("macro", F.avg("p"), F.avg("r"), F.avg("f"), total),
-            row("weighted", weighted("p"), weighted("r"), weighted("f"), total),
-        ).alias("rows")
-    ).select(F.inline("rows"))
-
-    both = F.size(F.array_intersect("actual", "guess"))
-    sp, sr, sf = _ratios(both, F.size("guess") - both, F.size("actual") - both)
-    per_doc = _compared(truth, predicted, key).agg(
-        F.lit("samples").alias("average"),
-        F.avg(sp).alias("precision"),
-        F.avg(sr).alias("recall"),
-        F.avg(sf).alias("f1"),
-        F.sum(F.size("actual")).alias("support"),
+    """Micro, macro, weighted and per-sample averages as rows, from one comparison of the label sets."""
+    of_label = ~F.col("documents")
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    support = tp + fn
+    own = dict(zip("prf", _ratios(tp, fp, fn)))
+    labels = lambda c: F.sum(F.when(of_label, c))
+    docs = lambda c: F.sum(F.when(~of_label, c))
+    n_labels = F.count(F.when(of_label, F.lit(1)))
+    weighted = lambda c: F.try_divide(labels(own[c] * support), labels(support))
+
+    def row(average, ratios, support):
+        named = [c.alias(n) for n, c in zip(("precision", "recall", "f1"), ratios)]
+        return F.struct(F.lit(average).alias("average"), *named, support.alias("support"))
+
+    rows = F.array(
+        row("micro", _ratios(labels(tp), labels(fp), labels(fn)), labels(support)),
+        row("macro", [F.try_divide(labels(own[c]), n_labels) for c in "prf"], labels(support)),
+        row("weighted", [weighted(c) for c in "prf"], labels(support)),
+        row("samples", [F.try_divide(docs(F.col(c)), docs(F.col("n_docs"))) for c in "prf"], docs(support)),
     )
-    return per_label.unionByName(per_doc)
+    return figures(truth, predicted, key).agg(rows.alias("rows")).select(F.inline("rows"))
 
 
 def hamming_loss(truth: DataFrame, predicted: DataFrame, key: str = "path") -> DataFrame:
     """Wrong label decisions over all (document, label) pairs."""
-    compared = _compared(truth, predicted, key)
-    wrong = F.size(F.array_except("actual", "guess")) + F.size(F.array_except("guess", "actual"))
-    n_labels = (
-        compared.select(F.explode(F.array_union("actual", "guess")).alias("label"))
-        .agg(F.count_distinct("label").alias("n"))
-        .scalar()
-    )
-    return compared.agg(F.sum(wrong).alias("wrong"), F.count("*").alias("n_docs")).select(
-        F.try_divide(F.col("wrong"), F.col("n_docs") * n_labels).alias("hamming_loss")
-    )
+    of_docs = F.col("documents")
+    wrong = F.sum(F.when(of_docs, F.col("fp") + F.col("fn")))
+    n_labels = F.count(F.when(~of_docs, F.lit(1)))
+    n_docs = F.sum(F.when(of_docs, F.col("n_docs")))
+    return figures(truth, predicted, key).agg(F.try_divide(wrong, n_docs * n_labels).alias("hamming_loss"))

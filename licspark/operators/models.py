@@ -48,6 +48,13 @@ class Problem:
         )
         return named.select(*df.columns, output)
 
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """Weights (term, label, w) that are not zero, and (label, b); links of a chain are left out."""
+        at = np.argwhere(self.coefficients)
+        rows = [(self.terms[t], self.classes[k], float(self.coefficients[k, t])) for k, t in at.tolist()]
+        bias = [(c, float(b)) for c, b in zip(self.classes, self.intercepts)]
+        return spark.createDataFrame(rows, "term string, label string, w double"), spark.createDataFrame(bias, "label string, b double")
+
     def config(self) -> dict:
         return {"kind": "single" if self.links is None else "chain", "classes": self.classes}
 

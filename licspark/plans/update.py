@@ -7,7 +7,8 @@ from licspark.functions.filetypes import file_type
 from licspark.operators.holdout import tag_holdout
 from licspark.operators.mapping import map_licenses
 from licspark.operators.tags import derived_tags, no_tags
-from licspark.operators.words import add_words, lemmatize
+from licspark.operators.words import add_words, lemmatize_corpus, stem_corpus
+from licspark.session import durable
 
 WORDS = ["license_related_words", "no_license_related_words"]
 
@@ -24,13 +25,16 @@ def update_files(
     """Files with content to fully described files; ``source="comment"`` uses the best comment.
 
     Texts are read once and turned into words where they lie; only the words
-    meet the files by path, so the corpus text itself is never shuffled. Files
+    meet the files by path, so the corpus text itself is never shuffled. Lemmas and
+    stems are found once per distinct token, from a stored table of the words. Files
     without content keep their licenses and get no words.
     """
     typed = contents.select("path", "content").withColumn("file_type", file_type(F.col("content"), F.col("path")))
-    worded = add_words(typed, profile, source).drop("content")
+    worded = add_words(typed, profile, source, raw=True).drop("content")
     if lemmas is not None and profile == "lemma":
-        worded = lemmatize(worded, lemmas, WORDS)
+        worded = lemmatize_corpus(durable(worded), lemmas, WORDS)
+    elif profile == "stem":
+        worded = stem_corpus(durable(worded), WORDS)
     mapped = map_licenses(files.drop("file_type", "has_lrw_match", *WORDS), mapping, faithful_mapping)
     described = (
         mapped.join(worded, "path", "left")

@@ -846,6 +846,48 @@ sql(
     VOCAB,
     WEIGHTS,
 )
+sql(
+    "svm_certificate",
+    """SELECT l.label, round(l.loss + 0.01 / 2 * s.squares, 6) AS objective, round(s.subgradient, 6) AS subgradient, l.n_violated, l.n_free
+    FROM losses l JOIN (
+      SELECT label, sum(w * w) AS squares, max(greatest(0, 0.01 * w - (fixed + most) / n, (fixed + least) / n - 0.01 * w)) AS subgradient
+      FROM (SELECT coalesce(p.label, w.label) AS label, coalesce(w.w, 0) AS w, coalesce(p.fixed, 0) AS fixed,
+              coalesce(p.least, 0) AS least, coalesce(p.most, 0) AS most, (SELECT count(*) FROM documents) AS n
+            FROM pulls p FULL JOIN shares w ON w.label = p.label AND w.term = p.term) GROUP BY label) s USING (label)""",
+    DOC_TOKENS,
+    DOC_TERMS,
+    STATS,
+    VOCAB,
+    WEIGHTS,
+    (
+        "shares",
+        """SELECT label, term, n / sum(n) OVER (PARTITION BY term) AS w FROM (
+        SELECT d.lang AS label, t.term, sum(t.tf) AS n FROM doc_terms t JOIN vocab USING (term)
+        JOIN (SELECT DISTINCT path, lang FROM doc_tokens) d USING (path) GROUP BY ALL)""",
+    ),
+    (
+        "margins",
+        f"""SELECT d.path, b.label, CASE WHEN d.lang = b.label THEN 1 ELSE -1 END AS y,
+          (CASE WHEN d.lang = b.label THEN 1 ELSE -1 END) * (b.b + coalesce(s.dot, 0)) AS m
+        FROM (SELECT {_path} AS path, lang FROM documents) d
+        CROSS JOIN (SELECT lang AS label, -count(*) / 100000.0::DOUBLE AS b FROM documents GROUP BY lang) b
+        LEFT JOIN (SELECT x.path, w.label, sum(w.w * x.weight) AS dot FROM tfidf x JOIN shares w USING (term) GROUP BY ALL) s
+          ON s.path = d.path AND s.label = b.label""",
+    ),
+    (
+        "losses",
+        """SELECT label, avg(greatest(0, 1 - m)) AS loss, count(*) FILTER (m < 1 AND abs(m - 1) > 0.05) AS n_violated,
+          count(*) FILTER (abs(m - 1) <= 0.05) AS n_free FROM margins GROUP BY label""",
+    ),
+    (
+        "pulls",
+        """SELECT m.label, e.term, sum(CASE WHEN abs(m - 1) > 0.05 THEN y * x ELSE 0 END) AS fixed,
+          sum(CASE WHEN abs(m - 1) <= 0.05 THEN least(y * x, 0) ELSE 0 END) AS least,
+          sum(CASE WHEN abs(m - 1) <= 0.05 THEN greatest(y * x, 0) ELSE 0 END) AS most
+        FROM (SELECT path, term, weight AS x FROM tfidf UNION ALL SELECT path, NULL, 1.0::DOUBLE FROM margins GROUP BY path) e
+        JOIN margins m ON m.path = e.path AND (m.m < 1 OR abs(m.m - 1) <= 0.05) GROUP BY ALL""",
+    ),
+)
 sql(
     "chain_decide",
     f"""SELECT path, {joined("flags")} AS labels FROM (SELECT path, list('L' || k ORDER BY k) FILTER (found) AS flags FROM chain GROUP BY path)""",

@@ -492,7 +492,7 @@ def stop_word_tokens(spark, sf_dir):
 @query
 def lemma_tokens(spark, sf_dir):
     files = inputs.text_files(spark, sf_dir).select("path", tokens.word_tokens(F.col("content")).alias("words"))
-    done = word_ops.lemmatize(files, inputs.lemmas(spark, sf_dir), ["words"])
+    done = word_ops.lemmatize_corpus(durable(files), inputs.lemmas(spark, sf_dir), ["words"])
     return done.select("path", joined("words", " ").alias("words"))
 
 
@@ -696,12 +696,12 @@ def naive_bayes_weights(spark, sf_dir):
 
 @query
 def naive_bayes_predict(spark, sf_dir):
-    terms = _language_terms(spark, sf_dir)
+    terms = durable(_language_terms(spark, sf_dir))
     counts = durable(scoring.naive_bayes_counts(terms))
     weights = scoring.naive_bayes(counts).select("label", "term", (F.col("w") - F.col("d")).alias("w"))
     bias = scoring.naive_bayes_priors(_documents(spark, sf_dir).select("path", F.col("lang").alias("label")))
     bias = bias.join(scoring.naive_bayes_defaults(counts).select("label", "d"), "label")
-    scores = scoring.linear_scores(terms.select("path", "term", F.col("tf").alias("x")), scoring.per_term(weights), bias)
+    scores = scoring.linear_scores(terms.withColumnRenamed("tf", "x"), scoring.per_term(weights), bias)
     return scoring.best_label(scores)
 
 
@@ -718,7 +718,7 @@ def held_out_report(spark, sf_dir):
     bias = bias.join(scoring.naive_bayes_defaults(counts).select("label", "d"), "label")
     unseen = docs.where(held)
     scores = scoring.linear_scores(
-        terms(unseen).select("path", "term", F.col("tf").alias("x")), scoring.per_term(weights), bias
+        durable(terms(unseen).select("path", "term", F.col("tf").alias("x"))), scoring.per_term(weights), bias
     )
     truth = unseen.select("path", F.array("lang").alias("labels"))
     guess = scoring.best_label(scores).select("path", F.array("label").alias("labels"))
@@ -726,21 +726,36 @@ def held_out_report(spark, sf_dir):
     return report.select("label", *[rounded(c).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
-@query
-def linear_score(spark, sf_dir):
-    """A linear model whose weights are term shares per language, on TF-IDF features."""
+def _share_model(spark, sf_dir):
+    """Documents, their stored TF-IDF features, term shares per language as weights, and a bias per language."""
     docs = _documents(spark, sf_dir)
     vocab = durable(features.vocabulary(docs))
-    x = features.tfidf(docs, vocab).withColumnRenamed("weight", "x")
+    x = durable(features.tfidf(docs, vocab).withColumnRenamed("weight", "x"))
     grams = docs.select("path", F.col("lang").alias("label"), F.inline(ngrams.term_counts(ngrams.word_ngrams(F.col("words"), 3))))
     counts = scoring.naive_bayes_counts(grams.join(vocab.select("term"), "term", "left_semi"))
     totals = counts.groupBy("term").agg(F.sum("n").alias("all"))
     weights = counts.join(totals, "term").select("term", "label", (F.col("n") / F.col("all")).alias("w"))
     bias = docs.groupBy(F.col("lang").alias("label")).agg((-F.count("*") / F.lit(100000.0)).alias("b"))
+    return docs, x, weights, bias
+
+
+@query
+def linear_score(spark, sf_dir):
+    """A linear model whose weights are term shares per language, on TF-IDF features."""
+    _, x, weights, bias = _share_model(spark, sf_dir)
     scores = scoring.linear_scores(x, scoring.per_term(weights), bias)
     return scores.select("path", "label", rounded("score").alias("score"))
 
 
+@query
+def svm_certificate(spark, sf_dir):
+    """Objective and largest subgradient of the term shares, taken as one-versus-rest SVMs of the language."""
+    docs, x, weights, bias = _share_model(spark, sf_dir)
+    truth = durable(docs.select("path", F.col("lang").alias("label")))
+    found = scoring.svm_certificate(x, truth, durable(weights), durable(bias), F.lit(0.01), 0.05)
+    return found.select("label", rounded("objective").alias("objective"), rounded("subgradient").alias("subgradient"), "n_violated", "n_free")
+
+
 def _routed(spark, sf_dir):
     """Fixed branch results per document, to check the decision logic."""
     docs = inputs.doc_licenses(spark, sf_dir)
@@ -805,7 +820,7 @@ def _model(spark, sf_dir):
 def chain_decide(spark, sf_dir):
     """Decisions of a chain of six yes/no labels over all documents, with a fixed table of weights, links and biases."""
     docs = _documents(spark, sf_dir)
-    x = docs.select("path", F.explode("words").alias("term")).groupBy("path", "term").agg(F.count("*").alias("x"))
+    x = durable(docs.select("path", F.inline(ngrams.term_counts(F.col("words")))).withColumnRenamed("tf", "x"))
     labels = spark.range(6).select(F.concat(F.lit("L"), "id").alias("label"), F.col("id").cast("int").alias("k"))
     terms = x.select("term").distinct().where(F.length("term") <= 4).crossJoin(F.broadcast(labels))
     w = ((F.length("term") * (F.col("k") + 3) + F.ascii("term")) % 7 - 3).cast("double")

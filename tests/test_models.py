@@ -191,6 +191,69 @@ def test_linear_scores(spark):
     assert {r.path: r.label for r in scoring.best_label(scores).collect()} == {"p": "A", "q": "A"}
 
 
+def test_certificate_against_numpy_and_for_a_fit(spark, sf_dir):
+    from licspark.functions.tokens import word_tokens
+    from licspark.operators import features
+    from licspark.session import durable
+
+    table = [("a", "t", 1.0), ("a", "u", 0.5), ("b", "u", 2.0), ("c", "t", 1.0)]
+    x = spark.createDataFrame(table, "path string, term string, x double")
+    truth = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "A"), ("d", "B")], "path string, label string")
+    w = {("t", "A"): 1.0, ("u", "A"): -0.5, ("u", "B"): 0.5}
+    weights = spark.createDataFrame([(*k, v) for k, v in w.items()], "term string, label string, w double")
+    bias = spark.createDataFrame([("A", 0.25), ("B", 0.0)], "label string, b double")
+    got = {r.label: r for r in scoring.svm_certificate(x, truth, weights, bias, F.lit(0.1), 0.0).collect()}
+    matrix = np.array([[sum(v for p, t, v in table if (p, t) == (doc, term)) for term in "tu"] + [1.0] for doc in "abcd"])
+    for label, b in (("A", 0.25), ("B", 0.0)):
+        y = np.array([1 if own == label else -1 for own in "ABAB"])
+        v = np.array([w.get(("t", label), 0), w.get(("u", label), 0), b])
+        m = y * (matrix @ v)
+        pull = matrix * y[:, None]
+        base = 0.1 * np.array([*v[:2], 0]) - pull[m < 1].sum(axis=0) / 4
+        ends = [base - np.maximum(pull[m == 1], 0).sum(axis=0) / 4, base - np.minimum(pull[m == 1], 0).sum(axis=0) / 4]
+        assert got[label].objective == pytest.approx(np.maximum(0, 1 - m).mean() + 0.05 * (v[:2] ** 2).sum())
+        assert got[label].subgradient == pytest.approx(max(0, ends[0].max(), (-ends[1]).max()))
+        assert (got[label].n_violated, got[label].n_free) == ((m < 1).sum(), (m == 1).sum())
+    # a finished fit is near its optimum, and its untrained start is not
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and lang is not null")
+    docs = docs.select(F.col("doc_id").cast("string").alias("path"), word_tokens(F.col("text")).alias("words"), F.col("lang").alias("label")).where(F.size("words") > 0)
+    problem = models.fit_single(docs, max_features=300)
+    weights, bias = problem.tables(spark)
+    vocab = spark.createDataFrame(list(zip(problem.terms, map(float, problem.idf))), "term string, idf double")
+    x = durable(features.tfidf(docs, vocab).withColumnRenamed("weight", "x"))
+    truth, penalty = docs.select("path", "label"), F.lit(1.0 / docs.count())
+    fitted = {r.label: r for r in scoring.svm_certificate(x, truth, weights, bias, penalty, 0.1).collect()}
+    start = {r.label: r for r in scoring.svm_certificate(x, truth, weights.limit(0), bias.withColumn("b", F.lit(0.0)), penalty, 0.1).collect()}
+    for label in start:
+        assert fitted[label].objective < start[label].objective
+        assert fitted[label].subgradient < CERTIFIED < start[label].subgradient
+
+
+#: Bound of the subgradient of a finished fit (mean hinge loss, vectors of length 1).
+CERTIFIED = 0.01
+
+
+def test_hot_terms_are_not_shuffled(spark):
+    from licspark.operators.hot_join import HOT_KEYS, hot_join, hot_keys
+    from licspark.session import durable
+
+    # a third of all rows has one term, and 2 * HOT_KEYS terms are rare
+    rare = spark.range(2 * HOT_KEYS).select(F.col("id").alias("path"), F.concat(F.lit("r"), "id").alias("term"))
+    hot = spark.range(HOT_KEYS).select(F.col("id").alias("path"), F.lit("hot").alias("term"))
+    nulls = spark.range(10).select(F.col("id").alias("path"), F.lit(None).cast("string").alias("term"))
+    rows = durable(rare.unionByName(hot).unionByName(nulls).repartition(4))
+    assert [r.term for r in hot_keys(rows, "term").collect()] == ["hot"]
+    table = spark.createDataFrame([("hot", 7), ("r1", 1), ("other", 3)], "term string, v int")
+    got = hot_join(rows, table, "term")
+    assert got.count() == rows.count()
+    counted = {(r.term, r.v): r.n for r in got.where("v is not null or term is null").groupBy("term", "v").agg(F.count("*").alias("n")).collect()}
+    assert counted == {("hot", 7): HOT_KEYS, ("r1", 1): 1, (None, None): 10}
+    # no task of the shuffled part holds more than its share: the hot term's rows are where they were
+    sizes = [r.n for r in got.where("term = 'hot'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 4 or max(sizes) < HOT_KEYS
+    assert hot_join(rows.limit(0), table, "term").count() == 0
+
+
 def test_naive_bayes_against_spark_ml(spark):
     from pyspark.ml.classification import NaiveBayes
     from pyspark.ml.linalg import Vectors
@@ -223,6 +286,10 @@ def test_evaluation(spark):
     assert averages["weighted"] == pytest.approx(((4 / 3 + 1) / 5, 3 / 5, 2.6 / 5))
     assert averages["samples"] == pytest.approx((1.5 / 4, 2 / 4, (1 + 2 / 3) / 4))
     assert evaluation.hamming_loss(truth, guess).first()[0] == pytest.approx(4 / 12)
+    plan = evaluation.report_averages(truth, guess)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    none = truth.limit(0)
+    assert {tuple(r)[1:] for r in evaluation.report_averages(none, none).collect()} <= {(None, None, None, None), (0.0, 0.0, 0.0, None)}
 
 
 def test_streams_in_many_batches(spark, tmp_path, model):

@@ -135,3 +135,36 @@ def test_names(spark):
     assert one(spark, "HPND-x", names.generalize_license) == "HPND"
     assert one(spark, "HPNDx", names.generalize_license) == "HPNDx"
     assert [one(spark, p, names.extension) for p in ("a/b.tar.gz", "a.b/c", ".bashrc", "x.")] == [".gz", "", "", "."]
+
+
+def test_tokens_of_a_corpus_are_replaced_by_position(spark):
+    from licspark.operators.words import lemmatize_corpus, stem_corpus
+
+    rows = [(f"p{k}", ["the", "licenses", None, "the", f"w{k}s"], ["granted", "the"], k) for k in range(50)]
+    rows += [("empty", [], None, 1), ("null", None, ["licenses"], 2)]
+    df = spark.createDataFrame(rows, "path string, a array<string>, b array<string>, value int").repartition(3)
+    lemmas = spark.createDataFrame([("licenses", "license"), ("licenses", "zz"), ("the", "THE"), (None, "x")], "token string, lemma string")
+    found = {"licenses": "license", "the": "THE"}
+    want = {(p, *[None if x is None else tuple(found.get(t, t) for t in x) for x in (a, b)], v) for p, a, b, v in rows}
+    got = lemmatize_corpus(df, lemmas, ["a", "b"])
+    assert got.columns == df.columns
+    assert {(r.path, r.a and tuple(r.a) if r.a else (None if r.a is None else ()), None if r.b is None else tuple(r.b), r.value) for r in got.collect()} == want
+    stemmed = {r.path: (r.a, r.b) for r in stem_corpus(df, ["a", "b"]).collect()}
+    assert stemmed["p7"] == (["the", stem("licenses"), None, "the", stem("w7s")], [stem("granted"), "the"])
+    assert stemmed["empty"] == ([], None) and stemmed["null"] == (None, [stem("licenses")])
+
+
+def test_update_job_stems_distinct_tokens_without_python(spark):
+    from licspark.functions.filetypes import file_type
+    from licspark.plans.update import update_files
+
+    files = spark.createDataFrame([("a.py", ["MIT"]), ("b.py", ["MIT"])], "path string, licenses array<string>")
+    text = "# Licensed under the MIT licenses, granted to users\nx = 1\n"
+    contents = spark.createDataFrame([("a.py", text), ("b.py", text.replace("users", "owners"))], "path string, content string")
+    mapping = spark.createDataFrame([("MIT", ["MIT"])], "old string, new array<string>")
+    done = update_files(files, contents, mapping, profile="stem")
+    assert "ArrowEvalPython" not in done._jdf.queryExecution().executedPlan().toString()
+    typed = contents.withColumn("file_type", file_type(F.col("content"), F.col("path")))
+    want = {r.path: r.license_related_words for r in add_words(typed, "stem").collect()}
+    assert {r.path: r.license_related_words for r in done.collect()} == want
+    assert stem("licenses") in want["a.py"]
