@@ -26,7 +26,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those whose language stays in doubt."""
+    """Drop documents without a letter, those whose language stays in doubt, and those stranger than any learned language."""
     return keep_known(docs, train_languages(docs), MIN_LANGUAGE_SCORE)
 
 

@@ -70,6 +70,10 @@ class Trees:
     def __init__(self, base: float, feature: np.ndarray, threshold: np.ndarray, leaf: np.ndarray):
         self.base, self.feature, self.threshold, self.leaf = base, feature, threshold, leaf
 
+    def parts(self) -> tuple:
+        """Plain arrays, for a broadcast that workers without this package can read."""
+        return self.base, self.feature, self.threshold, self.leaf
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         total, rows = np.full(len(x), self.base), np.arange(len(x))
         for feature, threshold, leaf in zip(self.feature, self.threshold, self.leaf):
@@ -151,10 +155,10 @@ def score_quality(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -
 
     A null text is scored as an empty one. Equal texts have equal scores.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def work(batches):
-        model = shared.value
+        model = Trees(*shared.value)
         for batch in batches:
             for first, end, data, offsets in textops.slices(batch.column("text")):
                 score = model.probabilities(features(data, offsets))
@@ -169,12 +173,13 @@ def score_quality(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -
 
 def keep_good(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, with all their columns, whose text scores `threshold` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
     at = docs.columns.index("text")
 
     def work(batches):
+        model = Trees(*shared.value)
         for batch in batches:
             for first, end, data, offsets in textops.slices(batch.column(at).cast(pa.string())):
-                yield batch.slice(first, end - first).filter(pa.array(shared.value.probabilities(features(data, offsets)) >= threshold))
+                yield batch.slice(first, end - first).filter(pa.array(model.probabilities(features(data, offsets)) >= threshold))
 
     return docs.mapInArrow(work, docs.schema)

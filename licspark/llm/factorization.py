@@ -53,6 +53,10 @@ class Machine:
     def __init__(self, bias: float, terms: np.ndarray, weights: np.ndarray, vectors: np.ndarray):
         self.bias, self.terms, self.weights, self.vectors = bias, terms, weights, vectors
 
+    def parts(self) -> tuple:
+        """Plain arrays, for a broadcast that workers without this package can read."""
+        return self.bias, self.terms, self.weights, self.vectors
+
     def logits(self, buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Scores of texts given as sorted term buckets, before the logistic function."""
         out = np.full(len(bounds) - 1, self.bias)
@@ -165,10 +169,10 @@ def score_toxicity(docs: DataFrame, model: Machine, threshold: float = THRESHOLD
 
     A null text is scored as an empty one. Equal texts have equal scores.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def work(batches):
-        model = shared.value
+        model = Machine(*shared.value)
         for batch in batches:
             for first, end, buckets, bounds in term_sets(batch.column("text")):
                 score = 1 / (1 + np.exp(-np.clip(model.logits(buckets, bounds), -500, 500)))

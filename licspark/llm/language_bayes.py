@@ -14,6 +14,11 @@ SIZES = (1, 2, 3)
 #: Added to each count.
 SMOOTHING = 0.5
 UNKNOWN = "und"
+#: Languages whose counts a task holds before it sends them on.
+HELD = 256
+#: How far the mean log share of a text's n-grams may lie below that of its language: a base
+#: for topic and style, and a number of standard deviations of the mean.
+STRANGE = (2.5, 4.0)
 
 
 def _folding() -> np.ndarray:
@@ -21,7 +26,7 @@ def _folding() -> np.ndarray:
     cache = textops.worker_cache("folding")
     if "table" not in cache:
         table = np.full(0x110000, 32, np.uint32)
-        for k in (*range(0xD800), *range(0xE000, 0x32000)):
+        for k in (*range(0xD800), *range(0xE000, 0x110000)):
             sign = chr(k)
             if sign.isalpha():
                 table[k] = ord(sign.lower()[0])
@@ -61,13 +66,28 @@ def gram_buckets(folded: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
 
 
 class LanguageModel:
-    """Languages, log shares of buckets (buckets, languages) and log shares of languages."""
+    """Languages, log shares of buckets (buckets, languages) and log shares of languages.
 
-    def __init__(self, languages: list[str], counts: np.ndarray, texts: np.ndarray):
-        self.languages = languages
+    Also what a language's own text gives per n-gram: the mean log share, and its variance.
+    """
+
+    def __init__(self, languages: list[str], weights: np.ndarray, prior: np.ndarray, mean: np.ndarray, variance: np.ndarray):
+        self.languages, self.weights, self.prior, self.mean, self.variance = languages, weights, prior, mean, variance
+
+    @classmethod
+    def from_counts(cls, languages: list[str], counts: np.ndarray, texts: np.ndarray) -> "LanguageModel":
+        """`counts` (languages, buckets) of n-grams, and `texts` of each language."""
+        if not languages:
+            return cls([], np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(0), np.zeros(0))
         smooth = counts.T + SMOOTHING
-        self.weights = np.log(smooth / smooth.sum(axis=0)) if languages else np.zeros((BUCKETS, 0))
-        self.prior = np.log(texts / texts.sum()) if languages else np.zeros(0)
+        share = smooth / smooth.sum(axis=0)
+        weights = np.log(share)
+        mean = (share * weights).sum(axis=0)
+        return cls(languages, weights, np.log(texts / texts.sum()), mean, (share * (weights - mean) ** 2).sum(axis=0))
+
+    def parts(self) -> tuple:
+        """Plain arrays, for a broadcast that workers without this package can read."""
+        return self.languages, self.weights, self.prior, self.mean, self.variance
 
 
 def train_languages(docs: DataFrame) -> LanguageModel:
@@ -77,6 +97,12 @@ def train_languages(docs: DataFrame) -> LanguageModel:
     languages x BUCKETS counts come to the driver.
     """
 
+    def sent(found):
+        pack = zstandard.ZstdCompressor(level=1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.string()), pa.array([pack.compress(v.tobytes()) for v in found.values()], pa.binary())], names=["lang", "counts"]
+        )
+
     def count(batches):
         found: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -89,11 +115,11 @@ def train_languages(docs: DataFrame) -> LanguageModel:
                     total = found.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
                     total[:BUCKETS] += np.bincount(buckets[code == k], minlength=BUCKETS)
                     total[BUCKETS] += int((codes == k).sum())
+                    if len(found) >= HELD:
+                        yield sent(found)
+                        found = {}
         if found:
-            pack = zstandard.ZstdCompressor(level=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.string()), pa.array([pack.compress(v.tobytes()) for v in found.values()], pa.binary())], names=["lang", "counts"]
-            )
+            yield sent(found)
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS + 1, np.int64)
@@ -109,14 +135,14 @@ def train_languages(docs: DataFrame) -> LanguageModel:
     once = salted.groupBy("lang", "part").applyInArrow(add, "lang string, counts binary")
     found = sorted(once.groupBy("lang").applyInArrow(add, "lang string, counts binary").collect())
     totals = np.array([np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts), np.int64) for r in found]).reshape(-1, BUCKETS + 1)
-    return LanguageModel([r.lang for r in found], totals[:, :BUCKETS], totals[:, BUCKETS])
+    return LanguageModel.from_counts([r.lang for r in found], totals[:, :BUCKETS], totals[:, BUCKETS])
 
 
-def _predicted(column: pa.Array, model: LanguageModel) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """(first row, languages, scores) for groups of whole texts."""
+def _predicted(column: pa.Array, model: LanguageModel) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, languages, scores, n-grams, by how much the mean log share is below the language's own) for groups of whole texts."""
     for first, end, data, offsets in textops.slices(column):
         buckets, bounds = gram_buckets(*letters(data, offsets))
-        names, scores = [UNKNOWN] * (end - first), np.zeros(end - first)
+        names, scores, below = [UNKNOWN] * (end - first), np.zeros(end - first), np.zeros(end - first)
         for k, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
             if high > low and model.languages:
                 counts = np.bincount(buckets[low:high], minlength=BUCKETS)
@@ -124,7 +150,8 @@ def _predicted(column: pa.Array, model: LanguageModel) -> Iterator[tuple[int, li
                 logs = counts[seen] @ model.weights[seen] + model.prior
                 best = int(logs.argmax())
                 names[k], scores[k] = model.languages[best], 1 / np.exp(logs - logs[best]).sum()
-        yield first, names, scores
+                below[k] = model.mean[best] - (logs[best] - model.prior[best]) / (high - low) - STRANGE[1] * np.sqrt(model.variance[best] / (high - low))
+        yield first, names, scores, np.diff(bounds), below
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -133,11 +160,12 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     A null text, one without letters and any text under a model without languages are
     `und` with score 0. Equal texts have equal results.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def work(batches):
+        model = LanguageModel(*shared.value)
         for batch in batches:
-            for first, names, scores in _predicted(batch.column("text"), shared.value):
+            for first, names, scores, _, _ in _predicted(batch.column("text"), model):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, len(names)), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"]
                 )
@@ -147,14 +175,23 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, min_score: float) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose language is found with `min_score` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of `docs`, with all their columns, whose language is known.
+
+    A text is refused if it has no letter, if no language reaches `min_score`, or if its
+    n-grams are stranger to the best language than that language's own text is (STRANGE),
+    as gibberish and languages never learned are. Without learned languages every
+    text with a letter stays.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
     at = docs.columns.index("text")
 
     def work(batches):
+        model = LanguageModel(*shared.value)
         for batch in batches:
-            for first, names, scores in _predicted(batch.column(at).cast(pa.string()), shared.value):
-                known = np.array([name != UNKNOWN for name in names], bool) & (scores >= min_score)
+            for first, names, scores, grams, below in _predicted(batch.column(at).cast(pa.string()), model):
+                known = grams > 0
+                if model.languages:
+                    known &= (scores >= min_score) & (below <= STRANGE[0])
                 yield batch.slice(first, len(names)).filter(pa.array(known))
 
     return docs.mapInArrow(work, docs.schema)

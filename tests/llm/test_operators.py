@@ -1,14 +1,19 @@
 """The corpus operators on edge cases and against plain Python."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from licspark.llm import bestfit, boosted_quality, factorization, host_suffixes, imatch, language_bayes, ngram_jaccard, quality_rules, queries
@@ -160,6 +165,60 @@ def test_distance_verdict(spark, sf_dir):
     assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.5
 
 
+JUNK = "#$%&*|<>0123456789"
+
+
+def test_no_language_vouches_for_its_own_noise(spark, sf_dir):
+    """Noise is refused under a known, an unknown and a null language, alone or in numbers; a rare language of usual texts is kept."""
+    rng = np.random.default_rng(3)
+    noise = lambda: " ".join("".join(rng.choice(list(JUNK), 6)) for _ in range(60))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    few = spark.createDataFrame([(10**9 + k, noise(), lang) for k, lang in enumerate(["zz", "en", None])], docs.schema)
+    many = spark.createDataFrame([(10**9 + k, noise(), "zz") for k in range(12)], docs.schema)
+    size = docs.select(F.sum(F.size(F.split("text", r"\s+")))).first()[0]
+    assert 12 * 60 < quality_rules.SELF_SHARE * size
+    for extra in (few, many):
+        rows = quality_rules.quality_rules(docs.unionByName(extra)).where("doc_id >= 1000000000").collect()
+        assert len(rows) == extra.count() and not any(r.kept or r.base_failed for r in rows)
+    labels = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
+    one = docs.where("lang = 'en'").where(F.col("doc_id").isin([int(x) for x in labels])).orderBy("doc_id").limit(2)
+    ids = {r.doc_id for r in one.collect()}
+    rare = docs.withColumn("lang", F.when(F.col("doc_id").isin(list(ids)), "en-rare").otherwise(F.col("lang")))
+    kept = {r.doc_id: (r.kept, r.base_failed) for r in quality_rules.quality_rules(rare).collect() if r.doc_id in ids}
+    assert all(k or failed for k, failed in kept.values())
+
+
+def test_own_counts_leave_the_reference():
+    counts, own = np.array([5.0, 3.0, 0.0]), np.array([[5, 3, 0], [1, 1, 0]])
+    assert np.allclose(quality_rules._without(counts, own, np.array([True, True])), [[0, 0, 0], [4 / 6, 2 / 6, 0]])
+    assert np.allclose(quality_rules._without(counts, own, np.array([False, False])), [counts / 8] * 2)
+
+
+def test_workers_without_the_package():
+    """Models travel as plain arrays: workers that cannot import the package apply them."""
+    code = f"""
+import sys
+sys.path.append({os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+def importable(rows):
+    import importlib.util
+    yield from (importlib.util.find_spec("licspark") is not None for _ in rows)
+assert spark.sparkContext.parallelize([1], 1).mapPartitions(importable).collect() == [False]
+for name in ("op2_quality_rules", "op4_boosted_quality", "op5_language_bayes", "op8_factorization"):
+    assert entry.queries()[name](spark, {SF_SMALL!r}).count() > 0
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    with tempfile.TemporaryDirectory() as folder:
+        done = subprocess.run([sys.executable, "-c", code], cwd=folder, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
+SF_SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
 def test_distances_are_jensen_shannon():
     counts, shares = np.array([[3, 1, 0], [0, 0, 5], [0, 0, 0]]), np.array([0.5, 0.5, 0.0])
     p, m = np.array([0.75, 0.25]), np.array([0.625, 0.375])
@@ -357,6 +416,36 @@ def test_languages(spark, sf_dir, edge_docs, no_docs):
     assert language_bayes.keep_known(edge_docs, model, 0.0).count() == len(edge) - 4
 
 
+def test_strange_texts_are_refused(spark, sf_dir, edge_docs):
+    docs = documents(spark, sf_dir)
+    model = language_bayes.train_languages(docs)
+    rng = np.random.default_rng(5)
+    gibberish = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(n)) for n in (20, 100, 2000)]
+    russian = "Съешь же ещё этих мягких французских булок да выпей чаю и приходи к нам завтра вечером"
+    plain = ["the cat sat on the mat and looked at the other cats", "hello", "\U00030000\U00030001"]
+    rows = [(k, t) for k, t in enumerate([*gibberish, russian, *plain])]
+    texts = spark.createDataFrame(rows, "id int, text string")
+    assert {r.id for r in language_bayes.keep_known(texts, model, 0.5).collect()} - {6} == {4, 5}
+    # all usual texts with a letter stay
+    lettered = sum(any(c.isalpha() for c in r.text or "") for r in docs.collect())
+    assert language_bayes.keep_known(docs, model, 0.0).count() == lettered
+    # without any learned language, texts with a letter stay, those of the last planes too
+    unknown = language_bayes.train_languages(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.id for r in language_bayes.keep_known(texts, unknown, 0.5).collect()} == set(range(7))
+    assert {r.doc_id for r in language_bayes.keep_known(edge_docs, unknown, 0.5).collect()}.isdisjoint({4, 5, 6, 9})
+
+
+def test_many_languages_leave_a_task_in_parts(spark, monkeypatch):
+    rows = [(f"text of language {k}", f"l{k:02}") for k in range(40)] * 2
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    whole, references = language_bayes.train_languages(docs), quality_rules.language_references(docs)
+    monkeypatch.setattr(language_bayes, "HELD", 3)
+    monkeypatch.setattr(quality_rules, "HELD", 3)
+    parts, again = language_bayes.train_languages(docs), quality_rules.language_references(docs)
+    assert all(np.array_equal(a, b) for a, b in zip(whole.parts(), parts.parts()))
+    assert all(np.array_equal(a, b) for a, b in zip(references.parts(), again.parts())) and len(again.languages) == 40
+
+
 def test_language_scores_are_naive_bayes():
     column = pa.array(["Abc ab, ba!", "cab"])
     grams = []
@@ -367,10 +456,10 @@ def test_language_scores_are_naive_bayes():
     want = sum(any(c != " " for c in folded[k : k + n]) for n in language_bayes.SIZES for k in range(len(folded) - n + 1))
     assert len(grams[0]) == want
     counts = np.stack([np.bincount(g, minlength=language_bayes.BUCKETS) for g in grams])
-    model = language_bayes.LanguageModel(["x", "y"], counts, np.array([3, 1]))
+    model = language_bayes.LanguageModel.from_counts(["x", "y"], counts, np.array([3, 1]))
     shares = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
     logs = np.log([0.75, 0.25]) + np.log(shares[:, grams[1].astype(int)]).sum(axis=1)
-    (_, names, scores), = language_bayes._predicted(pa.array(["cab"]), model)
+    (_, names, scores, _, _), = language_bayes._predicted(pa.array(["cab"]), model)
     assert names == ["xy"[int(logs.argmax())]] and np.isclose(scores[0], 1 / np.exp(logs - logs.max()).sum())
 
 
