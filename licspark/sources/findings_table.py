@@ -20,6 +20,8 @@ from licspark.operators.convert import typed_findings, upsert_findings
 BUCKET_BYTES = 128 << 20
 #: Bytes that one writing task gets of a bucket.
 TASK_BYTES = 32 << 20
+#: New findings that one writing task gets of a bucket.
+TASK_ROWS = 1 << 20
 SCHEMA = "kind string, path string, licenses array<string>, remove boolean, indirect boolean, text string, seq long"
 _FOLDER = re.compile(r"/batch=(\d+),buckets=(\d+)/bucket=(\d+)/[^/]+$")
 
@@ -117,13 +119,18 @@ def merge_into(path: str, raw: DataFrame, batch: int, registry: DataFrame | None
     before = max(1, stored.buckets)
     after = max(before, min(2 * before, -(-stored.size() // bucket_bytes)))
     new = typed_findings(raw, registry).where("kind is not null and path is not null")
-    touched = {r.bucket for r in new.select(bucket_of(before).alias("bucket")).distinct().collect()} | split_sources(before, after)
+    arrived = {r["bucket"]: r["count"] for r in new.groupBy(bucket_of(before).alias("bucket")).count().collect()}
+    touched = set(arrived) | split_sources(before, after)
     merged = upsert_findings(_read(spark, stored, touched), raw, registry).withColumn("bucket", bucket_of(after))
-    # a bucket is written by as many tasks as its bytes ask for, a few buckets by all cores
+    # a bucket is written by as many tasks as its old bytes and new rows ask for, a few buckets by all cores
     many, cores = max(1, len(touched)), spark.sparkContext.defaultParallelism
-    share = max(-(-stored.size(touched) // (many * TASK_BYTES)), -(-cores // many))
+    asked = -(-stored.size(touched) // (many * TASK_BYTES)) + -(-sum(arrived.values()) // (many * TASK_ROWS))
+    share = max(asked, -(-cores // many))
+    tasks = max(cores, many * share)
+    # dealt by number, since hashes of a few numbers leave tasks without rows and give others twice as many
+    task = F.pmod(F.col("bucket") * int(share) + F.pmod(F.xxhash64("path", F.lit(1)), F.lit(int(share))), F.lit(int(tasks)))
     target = f"{path}/batch={batch},buckets={after}"
-    dealt = merged.repartition(max(cores, many * share), "bucket", F.pmod(F.hash("path"), F.lit(int(share))))
+    dealt = merged.repartitionById(int(tasks), task.cast("int"))
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(target)
     written = stored.files.getContentSummary(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)).getLength()
     return Merge(batch, stored.buckets, after, len(touched), stored.size(touched), written)
