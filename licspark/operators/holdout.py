@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from licspark import fixed_values as fv
 from licspark.operators.ranking import rank_within
 from licspark.operators.tags import add_tag, drop_tag_everywhere
+from licspark.session import durable
 
 
 def holdout_paths(
@@ -28,6 +29,7 @@ def tag_holdout(
     factor: float = fv.HOLDOUT_FACTOR,
 ) -> DataFrame:
     """Remove the tag everywhere, then set it on the hold-out files."""
+    files = durable(files)  # read twice, and costly to make
     chosen = holdout_paths(files, min_samples, factor).withColumn("_held", F.lit(True))
     tags = F.coalesce("tags", F.array().cast("array<string>"))
     return (
