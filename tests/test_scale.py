@@ -54,13 +54,30 @@ def test_small_lemma_table_moves_no_row(spark, monkeypatch):
     docs = _docs(spark).withColumn("other", F.reverse("words"))
     lemmas = spark.createDataFrame([("a", "z"), ("a", "y"), ("b", None), (None, "q")], "token string, lemma string")
     found = word_ops.lemmatize_corpus(docs, lemmas, ["words", "other"], "k")
-    assert "Exchange" not in _plan(found)
+    assert "Exchange" not in _plan(found) and "ArrowEvalPython" in _plan(found)
     rows = {r.k: (r.words, r.other) for r in found.collect()}
     assert rows[40] == (None, None) and rows[41] == (["y", "y"], ["y", "y"])
     monkeypatch.setattr(word_ops, "IN_ROWS", 0)
     assert {r.k: (r.words, r.other) for r in word_ops.lemmatize_corpus(docs, lemmas, ["words", "other"], "k").collect()} == rows
 
 
+def test_files_with_one_key_share_their_tokens(spark, monkeypatch):
+    docs = spark.createDataFrame([("p", ["a", "c"]), ("p", ["a", "c"]), ("q", ["a"]), (None, ["a"])], "path string, words array<string>")
+    lemmas = spark.createDataFrame([("a", "z")], "token string, lemma string")
+    rows = lambda: Counter((r.path, *r.words) for r in word_ops.lemmatize_corpus(docs, lemmas, ["words"]).collect())
+    found = rows()
+    assert found["q", "z"] == 1
+    monkeypatch.setattr(word_ops, "IN_ROWS", 0)
+    assert rows() == found
+
+
+def test_words_are_not_made_twice_for_the_vocabulary(spark):
+    from licspark.operators.top_terms import _words
+
+    assert "Filter" not in _plan(_words(_docs(spark), "words"))
+    assert _words(_docs(spark), "words").count() == 42
+
+
 def test_chosen_paths_come_to_the_wide_rows(spark):
     wide = spark.range(1000).select(F.col("id").cast("string").alias("path"), F.lit("w").alias("words"))
     chosen = wide.groupBy("path").agg(F.lit("MIT").alias("license")).where("path < '2'")
