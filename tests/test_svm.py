@@ -130,3 +130,29 @@ def test_predictions_skip_null_words(spark):
     rows = spark.createDataFrame([("p", ["s", None, "t"]), ("q", ["s", "t"]), ("r", []), ("s", ["s", "s"])], "path string, words array<string>")
     got = {r.path: r.o for r in problem.predict(rows, "words", "o").collect()}
     assert got == {"p": ["a"], "q": ["b"], "r": ["b"], "s": ["a"]}
+
+
+def test_chain_labels_does_the_whole_fit(spark, tmp_path, monkeypatch):
+    """All iterations of the library, on the rows of all labelled documents: repeated ones too, those without a number not."""
+    import inspect
+
+    from licspark.workload import queries
+
+    docs = [(i, f"text number {i} released under the mit license", "en" if i % 2 else "de", "src") for i in range(12)]
+    docs += [docs[3], (None, "without a number", "en", "src")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(1, 1, 0), (2, 2, 1), (3, 0, 0), (4, 1, 1), (50, 1, 0), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    fit, asked = models.fit_chain, []
+
+    def spy(samples, *args, **options):
+        asked.append((inspect.signature(fit).bind(samples, *args, **options).arguments.get("max_iter", 50), samples.collect()))
+        return fit(samples, *args, **(options | {"max_iter": 2}))
+
+    monkeypatch.setattr(models, "fit_chain", spy)
+    rows = queries.chain_labels(spark, str(tmp_path)).collect()
+    assert len(rows) == 14
+    [(iterations, samples)] = asked
+    assert iterations == inspect.signature(fit).parameters["max_iter"].default == 50
+    assert sorted(r.path for r in samples) == ["src/1", "src/2", "src/3", "src/3", "src/4"]
+    assert set(samples[0].asDict()) == {"path", "words", "labels"}
